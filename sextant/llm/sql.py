@@ -46,4 +46,52 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-SQL = {"op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op10_decontamination": OP10}
+OP1 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM v
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS x, a AS y FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y),
+m AS (SELECT x, min(y) AS m FROM r GROUP BY x),
+d AS (SELECT a, count(*) AS n FROM u GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(m.m, v.vec_id) AS component_id, v.vec_id = coalesce(m.m, v.vec_id) AS kept
+FROM v LEFT JOIN m ON m.x = v.vec_id LEFT JOIN d ON d.a = v.vec_id
+"""
+
+OP4 = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size, md5('4:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source),
+w AS (SELECT source, size, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS weight, size * 3.0::DOUBLE AS most FROM s),
+b AS (SELECT *, most / weight AS per, sum(size) OVER () AS total, sum(weight) OVER () AS weights,
+        coalesce(sum(most) OVER o, 0) AS most_before, coalesce(sum(weight) OVER o, 0) AS weight_before
+      FROM w WINDOW o AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, (total - most_before) / (weights - weight_before) AS level FROM b),
+f AS (SELECT arg_min(level, (per, source IS NULL, source)) AS level FROM v WHERE per >= level),
+t AS (SELECT source, size, CASE WHEN (SELECT level FROM f) IS NULL THEN most ELSE least(most, (SELECT level FROM f) * weight) END AS target, total FROM v),
+q AS (SELECT source, target / (2 * k + 1) AS q, k, floor(total / 32.0 + 0.5) AS seats
+      FROM (SELECT *, unnest(range(0, (target / 32)::BIGINT + 50)) AS k FROM t WHERE target > 0)),
+n AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source IS NULL, source, k) AS r FROM q) WHERE r <= seats GROUP BY source),
+p AS (SELECT t.source, t.size, t.target, least(coalesce(quota, 0), 3 * ceil(t.size / 32.0))::BIGINT AS quota, ceil(t.size / 32.0)::BIGINT AS n_blocks,
+        ('0x' || md5('4:' || coalesce(t.source, '') || CASE WHEN t.source IS NULL THEN ':' ELSE '' END)[1:12])::BIGINT AS seed
+      FROM t LEFT JOIN n ON n.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, quota // n_blocks AS rounds, quota % n_blocks AS extra, seed % n_blocks AS c,
+        CASE WHEN n_blocks % 1000003 <> 0 THEN 1000003 WHEN n_blocks % 998244353 <> 0 THEN 998244353 ELSE 1000000007 END AS a FROM p WHERE n_blocks > 0),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d),
+j AS (SELECT o.doc_id, o.size, o.pos, e.rounds, e.extra, e.a, e.c, e.n_blocks, CASE WHEN o.size > 0 THEN range(o.pos // 32, (o.pos + o.size - 1) // 32 + 1) ELSE [] END AS js, o.source
+      FROM o LEFT JOIN e ON e.source IS NOT DISTINCT FROM o.source)
+SELECT j.doc_id, j.size, p.size AS source_size, p.target,
+  (coalesce(rounds, 0) * j.size + coalesce(list_sum(list_transform(list_filter(js, lambda x: (a * x + c) % j.n_blocks < extra), lambda x: least((x + 1) * 32, pos + j.size) - greatest(x * 32, pos))), 0))::BIGINT AS taken
+FROM j JOIN p ON p.source IS NOT DISTINCT FROM j.source
+"""
+
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+SQL = {"op1_embedding_dedup": OP1, "op4_source_mixing": OP4, "op7_warc": OP7, "op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op10_decontamination": OP10}
