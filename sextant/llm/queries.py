@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import contamination, minhash, mixing, sharding, substrings, vectors, warc
+from sextant.llm import contamination, lines, minhash, mixing, quality, sharding, substrings, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digested(quality.scored(documents, table(spark, sf_dir, "labels")))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digested(lines.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix, _ = mixing.mixed_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixing.digested(mix)
@@ -49,5 +58,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op4_source_mixing, op6_minhash_dedup, op7_warc, op8_substring_dedup, op9_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op3_line_dedup, op4_source_mixing, op6_minhash_dedup, op7_warc, op8_substring_dedup, op9_sharding, op10_decontamination)
 }

@@ -94,4 +94,21 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM g
 """
 
-SQL = {"op1_embedding_dedup": OP1, "op4_source_mixing": OP4, "op7_warc": OP7, "op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op10_decontamination": OP10}
+OP3 = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS at_ FROM documents),
+t AS (SELECT doc_id, at_, list_transform(regexp_extract_all(line, '{WORDS}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
+f AS (SELECT doc_id, at_, t, concat_ws(' ', len(t)::VARCHAR, array_to_string(t[1:3], ' ')) AS leaf FROM t WHERE len(t) >= 4),
+r AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
+n AS (SELECT leaf, t, count(DISTINCT doc_id) AS n FROM f JOIN r USING (leaf) GROUP BY leaf, t),
+h AS (SELECT leaf, arg_max(t, (n, array_to_string(t, ' '))) AS head FROM n GROUP BY leaf),
+m AS (SELECT n.leaf, n.t, CASE WHEN len(list_filter(range(1, len(t) + 1), lambda i: t[i] = head[i])) >= len(t) * 0.7 THEN head ELSE t END AS tmpl FROM n JOIN h ON h.leaf = n.leaf),
+x AS (SELECT f.doc_id, f.at_, m.leaf, m.tmpl FROM f JOIN m ON m.leaf = f.leaf AND m.t = f.t),
+c AS (SELECT leaf, tmpl FROM x GROUP BY leaf, tmpl HAVING count(DISTINCT doc_id) >= 3),
+g AS (SELECT doc_id, list(at_) AS gone FROM x JOIN c ON c.leaf = x.leaf AND c.tmpl = x.tmpl GROUP BY doc_id),
+d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ls ELSE list_transform(list_filter(range(0, len(ls)), lambda i: NOT list_contains(gone, i)), lambda i: ls[i + 1]) END, chr(10)), '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+SQL = {"op1_embedding_dedup": OP1, "op3_line_dedup": OP3, "op4_source_mixing": OP4, "op7_warc": OP7, "op6_minhash_dedup": OP6, "op8_substring_dedup": OP8, "op10_decontamination": OP10}
