@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import contamination, lines, minhash, mixing, quality, sharding, substrings, vectors, warc
+from sextant.llm import contamination, html, lines, minhash, mixing, quality, sharding, substrings, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digested(mix)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.digested(html.extracted(table(spark, sf_dir, "pages")))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -58,5 +62,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op3_line_dedup, op4_source_mixing, op6_minhash_dedup, op7_warc, op8_substring_dedup, op9_sharding, op10_decontamination)
+    f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op3_line_dedup, op4_source_mixing, op5_html_extraction, op6_minhash_dedup, op7_warc, op8_substring_dedup, op9_sharding, op10_decontamination)
 }
