@@ -1,0 +1 @@
+"""A code map and text analytics engine on Spark DataFrames."""
