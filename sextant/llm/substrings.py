@@ -4,9 +4,13 @@ Counting each window of the corpus as a row would shuffle several times the inpu
 windows are first told apart by their anchor: the 8-token gram of smallest hash in a
 window. Equal windows have equal anchors, so a window whose anchor occurs once in the
 corpus cannot repeat; only windows with a repeated anchor are shuffled and counted. The
-anchors are every 14th token or so. Repeated windows merge into maximal removal intervals.
+anchors are every 14th token or so. The windows of one anchor in one place of a text are a
+run; runs are counted first, as one row each, and a run found twice is all repeated. Single
+windows are counted only where an anchor has a run that is found once, and then once for
+each distinct run. Repeated windows merge into maximal removal intervals.
 
-Copies of a whole text are one text that counts as two.
+Copies of a whole text are one text that counts as two. A window is known by its own hash
+and its anchor's, 128 bits together.
 """
 
 from __future__ import annotations
@@ -15,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import U64, WordHashes, as_bytes, mixed, written
+from sextant.llm.common import U64, WordHashes, as_bytes, mixed, removed, written
 
 WINDOW = 35
 GRAM = 8
-#: Bases of the two rolling hashes, modulo 2^64; odd, so powers have inverses.
+#: Bases of the rolling hashes of grams and of windows, modulo 2^64; odd, so powers have inverses.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -77,31 +82,31 @@ def _anchored(width: int, gram: int):
     return run
 
 
-def _windowed(width: int, gram: int):
-    """(t1, t2, text, again, copied) to the windows whose anchor is in `again`: hash, start,
-    and n = 2 where the text has the window twice or has copies."""
+def _runs(width: int, gram: int):
+    """(t1, t2, text, again) to the runs of windows whose anchor is in `again`: the anchor, the
+    run's hash, its first start and its windows' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 part = whole.slice(at, 64)
-                out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                t1s, t2s, copied = (part.column(c).to_numpy(zero_copy_only=False) for c in ("t1", "t2", "copied"))
-                for i, (text, again) in enumerate(zip(as_bytes(part.column("text")), part.column("again"), strict=True)):
+                t1s, t2s = (part.column(c).to_pylist() for c in ("t1", "t2"))
+                out: list[list] = [[], [], [], [], [], []]
+                for t1, t2, text, again in zip(t1s, t2s, as_bytes(part.column("text")), part.column("again"), strict=True):
                     hashes = words.of(text.split())
-                    anchor, _ = anchors(hashes, width, gram)
-                    start = np.flatnonzero(np.isin(anchor.view(np.int64), again.values.to_numpy()))
-                    one, two = (rolling(hashes, width, b)[start] for b in BASES)
-                    if copied[i]:
-                        n = np.full(len(start), 2, np.int32)
-                    else:
-                        _, back, count = np.unique(mixed(one) ^ two, return_inverse=True, return_counts=True)
-                        n = np.minimum(count[back], 2).astype(np.int32)
-                    for to, values in zip(out, (np.full(len(start), t1s[i]), np.full(len(start), t2s[i]), one.view(np.int64), two.view(np.int64), start.astype(np.int32), n), strict=True):
-                        to.append(values)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["t1", "t2", "w1", "w2", "at", "n"])
+                    anchor, place = anchors(hashes, width, gram)
+                    window = rolling(hashes, width, BASES[1])
+                    edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+                    for k in np.flatnonzero(np.isin(anchor[edges[:-1]].view(np.int64), again.values.to_numpy())).tolist():
+                        a, b = int(edges[k]), int(edges[k + 1])
+                        of = window[a:b]
+                        for to, value in zip(out, (t1, t2, anchor[a], xxhash.xxh3_64_intdigest(of.tobytes()), a, of.view(np.int64)), strict=True):
+                            to.append(value)
+                signed = [np.array(x, U64).view(np.int64) for x in out[2:4]]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                columns = [out[0], out[1], *signed, out[4], out[5]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["t1", "t2", "anchor", "run", "start", "windows"])
 
     return run
 
@@ -115,6 +120,12 @@ def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.concatenate((cut, [len(starts) - 1]))] + width).tolist(), strict=True))
 
 
+def _starts(marks: pa.ListScalar) -> np.ndarray:
+    """Every start of marks (at, n): n starts from at on."""
+    at, n = (marks.values.field(c).to_numpy() for c in ("at", "n"))
+    return np.concatenate([np.arange(a, a + k) for a, k in zip(at.tolist(), n.tolist(), strict=True)])
+
+
 def _removed(width: int, payload: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -127,7 +138,7 @@ def _removed(width: int, payload: list[str]):
                     if copied and len(tokens) >= width:
                         found = [(0, len(tokens))]
                     else:
-                        found = intervals(starts.values.to_numpy(), width) if starts.is_valid else []
+                        found = intervals(_starts(starts), width) if starts.is_valid else []
                     spans.append([{"s": a, "e": b} for a, b in found])
                     for a, b in reversed(found):
                         del tokens[a:b]
@@ -155,18 +166,32 @@ def without_repeats(documents: DataFrame, width: int = WINDOW, gram: int = GRAM)
     texts = keyed.select("t1", "t2", row.alias("row")).groupBy("t1", "t2").agg(F.min("row").alias("rep"), (F.count("*") > 1).alias("copied"))
     light = keyed.select("t1", "t2", F.coalesce("sub_whole", F.lit("")).alias("text"))
     found = light.mapInArrow(_anchored(width, gram), "t1 long, t2 int, anchor long, n int")
-    found, _ = written(found, "anchors")
+    found, found_path = written(found, "anchors")
     repeated = found.groupBy("anchor").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.max("n").alias("n")).where("lo < hi or n > 1").select("anchor")
-    flagged = found.join(repeated, "anchor").groupBy("t1", "t2").agg(F.collect_set("anchor").alias("again"))
-    known, _ = written(texts.join(flagged, ["t1", "t2"], "left"), "texts")
-    # The rows below share one exchange of the texts by (t1, t2).
+    repeated, repeated_path = written(repeated, "anchors")
+    flagged = found.join(repeated, "anchor").groupBy("t1", "t2").agg(F.collect_list("anchor").alias("again"))
+    known, known_path = written(texts.join(flagged, ["t1", "t2"], "left"), "texts")
+    spark = documents.sparkSession
+    removed(spark, found_path, repeated_path)
     whole = keyed.withColumn("row", row)
-    some = whole.join(known.where("again is not null"), ["t1", "t2"]).where("row = rep")
-    windows = some.select("t1", "t2", F.col("sub_whole").alias("text"), "again", "copied").mapInArrow(_windowed(width, gram), "t1 long, t2 int, w1 long, w2 long, at int, n int")
-    windows, _ = written(windows, "windows")
-    counted = windows.groupBy("w1", "w2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.max("n").alias("n")).where("lo < hi or n > 1").select("w1", "w2")
-    starts = windows.join(counted, ["w1", "w2"], "left_semi").groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
-    marks = known.select("t1", "t2", "copied").join(starts, ["t1", "t2"], "left").where("copied or starts is not null")
+    some = whole.select("t1", "t2", "sub_whole", "row").join(known.where("again is not null"), ["t1", "t2"]).where("row = rep")
+    runs = some.select("t1", "t2", F.col("sub_whole").alias("text"), "again").mapInArrow(_runs(width, gram), "t1 long, t2 int, anchor long, run long, start int, windows array<long>")
+    runs, runs_path = written(runs, "runs")
+    known, marks_path = written(known.select("t1", "t2", "copied"), "texts")
+    removed(spark, known_path)
+    weighed = runs.join(known, ["t1", "t2"]).select("anchor", "run", "t1", F.when(F.col("copied"), 2).otherwise(1).alias("n"))
+    counted, counted_path = written(weighed.groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.min("t1").alias("lo")), "counted")
+    partly = counted.groupBy("anchor").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("anchor")
+    # One place of each distinct run of an anchor that has a single one.
+    looked, looked_path = written(counted.join(partly, "anchor"), "counted")
+    single = runs.join(looked, ["anchor", "run"]).where("t1 = lo")
+    single = single.select("anchor", "t1", "t2", "n", F.posexplode("windows").alias("k", "window"), "start").select("anchor", "window", "t1", "t2", "n", (F.col("start") + F.col("k")).alias("at"))
+    twice, twice_path = written(single.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "window"), "windows")
+    marks = single.where("n = 1").join(twice, ["anchor", "window"], "left_semi").select("t1", "t2", "at", F.lit(1).alias("n"))
+    whole_runs = runs.join(counted.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select("t1", "t2", F.col("start").alias("at"), F.size("windows").alias("n"))
+    starts = marks.union(whole_runs).groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
+    marks, _ = written(known.join(starts, ["t1", "t2"], "left").where("copied or starts is not null"), "marks")
+    removed(spark, runs_path, counted_path, looked_path, twice_path, marks_path)
     out = whole.join(marks, ["t1", "t2"], "left")
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in payload)
     spans = "sub_n_words long, sub_spans array<struct<s:int,e:int>>, sub_kept string"
