@@ -7,19 +7,25 @@ are so filled after 2t rounds at most, after O(t log t / set size) of them mostl
 each agrees between two sets with probability their Jaccard similarity. Bands of the
 sketch give candidates, and full sets confirm them.
 
-No pair is made but (centre of a band's bucket, member): copies of a set are one, and the
-members of a bucket that a centre does not link are compared with further centres, until
-all members of each bucket are in one component or every pair between components of a
-bucket has been confirmed or refused.
+Copies of a set are one, and no pair is made in a bucket but (centre, member), with the member
+that meets most others for its centre. Let c be the centre and D(x) the shingles that x has
+and c lacks, and those that c has and x lacks. If y does not link to c, a set x of the bucket
+that links to y shares at least (|c - x| + t |x - c| + t |c + y| - |c & y|) / (1 + t) of D(y),
+t being the least similarity: that follows from the sizes of intersections and unions. So
+members of a bucket in which some do not link are dealt anew, by the elements of D, into
+buckets without c, leaving out as many elements of each D, by order of hash, as that bound
+allows. What such buckets hold after the last round is compared pair by pair, as far as the
+bound lets a pair link. No link is lost, and buckets of near copies cost about their size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import LOWER, MASK, U64, WordHashes, as_bytes, batch, empty, mixed, removed, seeds, with_components, written
@@ -27,9 +33,8 @@ from sextant.llm.common import LOWER, MASK, U64, WordHashes, as_bytes, batch, em
 SHINGLE = 5
 #: 30 bands of 5 of 150 bins: a pair at similarity 0.85 shares no band with probability 2e-8.
 BANDS, BAND_ROWS = 30, 5
-#: Rounds in which each unsettled bucket tries one more centre, before all pairs between
-#: what components are left in it.
-CENTRES = 3
+#: Rounds of centres, before pairs. A further one pays where groups within groups are large.
+ROUNDS = 1
 
 PLACES = seeds(SHINGLE, 11)
 FULL = U64(MASK)
@@ -116,32 +121,70 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(SETS, doc_id=part.column("doc_id"), held=[shingles(t, words).tobytes() for t in as_bytes(part.column("text"))])
 
 
-def _confirmed(percent: int):
+#: Tells an element that the centre lacks from one that the member lacks.
+LACKS = U64(0x5851F42D4C957F2D)
+
+
+def judged(c: np.ndarray, x: np.ndarray, percent: int, shorter: int) -> tuple[bool, float, np.ndarray, np.ndarray, int, int]:
+    """Whether the sets link; for an x that does not, by how many shingles a set must be
+    smaller than c to link to x without sharing any that c lacks; and the elements of D(x), of
+    those that c lacks and of those that x lacks, by which members that link past the centre
+    find each other; and how many x has that c lacks, and c that x lacks. `shorter`: what the
+    smallest member lacks of the centre's size."""
+    t, slip = percent / 100, 1e-9
+    at = np.minimum(np.searchsorted(c, x), len(c) - 1)
+    held = c[at] == x
+    both, more = int(held.sum()), x[~held]
+    union = len(c) + len(more)
+    lacks = np.ones(len(c), bool)
+    lacks[at[held]] = False
+    less = c[lacks]
+    none = less[:0]
+    if 100 * both >= percent * union:
+        # Without a shared element of `more`, x must be smaller than the centre and share this much of `less`.
+        need = math.ceil((len(less) + t * len(more)) / (1 + t) - slip)
+        return True, 0.0, mixed(more), mixed(less[: len(less) - need + 1] ^ LACKS) if len(x) < len(c) else none, len(more), len(less)
+    gap = t * union - both
+    need = math.ceil((gap - t * shorter) / (1 + t) - slip)
+    if need >= 1:
+        return False, gap / t, mixed(more[: max(0, len(more) - need + 1)]), none, len(more), len(less)
+    return False, gap / t, mixed(more), mixed(less[: max(0, len(less) - max(1, math.ceil(gap - slip)) + 1)] ^ LACKS), len(more), len(less)
+
+
+JUDGED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("gap", pa.float64()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64())), ("adds", pa.int32()), ("lacks", pa.int32())])
+
+
+def _judged(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                part = whole.slice(at, 512)
-                a, b, linked = part.column("a"), part.column("b"), []
-                for x, y in zip(part.column("held_a"), part.column("held_b"), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                    joint = np.concatenate((x, y))
-                    joint.sort(kind="stable")  # merges two sorted runs
-                    both = int((joint[1:] == joint[:-1]).sum())
-                    linked.append(100 * both >= percent * (len(joint) - both))
-                keep = pa.array(linked, pa.bool_())
-                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+            for at in range(0, whole.num_rows, 256):
+                part = whole.slice(at, 256)
+                found = []
+                for c, x, shorter in zip(part.column("held_a"), part.column("held_b"), part.column("shorter").to_pylist(), strict=True):
+                    c, x = (np.frombuffer(v.as_buffer(), U64) for v in (c, x))
+                    found.append(judged(c, x, percent, shorter))
+                linked, gap, more, less, adds, lacks = zip(*found, strict=True) if found else ((),) * 6
+                yield batch(JUDGED, a=part.column("a"), b=part.column("b"), linked=linked, gap=gap, more=[e.view(np.int64) for e in more], less=[e.view(np.int64) for e in less], adds=adds, lacks=lacks)
 
     return run
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough."""
+def judged_pairs(pairs: DataFrame, documents: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """JUDGED of the pairs (a, b, shorter) of ids, from their full sets. Texts meet ids in a
+    sort-merge join at every size."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held, path = written(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, held binary"), "sets")
+    held, path = written(documents.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, held binary"), "sets")
     one, two = (held.select(F.col("doc_id").alias(k), F.col("held").alias(f"held_{k}")) for k in ("a", "b"))
-    links, _ = written(pairs.join(one, "a").join(two, "b").select("a", "b", "held_a", "held_b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "shorter", "held_a", "held_b")
+    out, out_path = written(both.mapInArrow(_judged(percent), "a long, b long, linked boolean, gap double, more array<long>, less array<long>, adds int, lacks int"), "judged")
     removed(pairs.sparkSession, path)
-    return links
+    return out, out_path
+
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, rep, n, linked) of buckets that hold two ids or more and one that does not link, with their size."""
+    of = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.min("linked").alias("linked_all"))
+    return rows.join(of.where("size > 1 and least < most and not linked_all").select("bucket", "size"), "bucket")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, seed: int = 6) -> DataFrame:
@@ -157,56 +200,55 @@ def near_duplicates(documents: DataFrame, percent: int = 80, bands: int = BANDS,
     """
     spark = documents.sparkSession
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed, signed_path = written(own.mapInArrow(_signed(bands, band_rows, seed), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
+    signed, _ = written(own.mapInArrow(_signed(bands, band_rows, seed), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     sets = (
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
-    banded, banded_path = written(sets.select("rep", "n", F.explode("bands").alias("band")), "banded")
-    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("size > 1 and least < most")
-    members, members_path = written(banded.join(buckets.select("band", "size"), "band"), "members")
-    # The same set can reach a bucket's band only once, but one id may own two sets.
-    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    members, settled_path = written(members.join(degree, "rep").select("band", "rep", "n", "degree"), "members")
-    removed(spark, banded_path, members_path)
-
-    trail = [settled_path]
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    tried: DataFrame | None = None
-    for turn in range(CENTRES + 1):
-        if labels is None:
-            unsettled = members.withColumn("component", F.col("rep"))
-        else:
-            unsettled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            open_ = unsettled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-            unsettled, path = written(unsettled.join(open_, "band"), "unsettled")
-            trail.append(path)
-            if empty(unsettled):
-                break
-        fits = (F.col("n") * 100 >= F.col("c.n") * percent) & (F.col("c.n") * 100 >= F.col("n") * percent)
-        if turn < CENTRES:
-            free = unsettled.join(tried, ["band", "rep"], "left_anti") if tried is not None else unsettled
-            centres = free.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "n", "component")).alias("c"))
-            used = centres.select("band", (-F.col("c.minus")).alias("rep"))
-            tried = used if tried is None else tried.union(used)
-            pairs = (
-                unsettled.join(centres, "band")
-                .where((F.col("component") != F.col("c.component")) & fits)
-                .select((-F.col("c.minus")).alias("x"), F.col("rep").alias("y"))
-            )
-        else:
-            # Whatever is left: members of all but the first component of a bucket, with all of other components.
-            first = unsettled.groupBy("band").agg(F.min("component").alias("first"))
-            rest = unsettled.join(first, "band").where("component != first").select("band", F.struct(F.col("rep").alias("id"), "n", "component").alias("c"))
-            pairs = unsettled.join(rest, "band").where((F.col("component") != F.col("c.component")) & fits).select(F.col("c.id").alias("x"), F.col("rep").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-        pairs, path = written(pairs, "pairs")
+    trail: list[str] = []
+    banded, path = written(sets.select(F.explode("bands").alias("bucket"), "rep", "n", F.lit(False).alias("linked")), "banded")
+    trail.append(path)
+    members, path = written(shared_buckets(banded), "members")
+    trail.append(path)
+    edges = banded.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    for _ in range(ROUNDS):
+        # The centre of a bucket is the member that meets most others.
+        degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+        ranked = members.join(degree, "rep")
+        centres = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "n")).alias("c")).select("bucket", (-F.col("c.minus")).alias("a"), F.col("c.n").alias("size_a"))
+        routes = members.join(centres, "bucket").where("rep != a")
+        routes, path = written(routes.select("a", F.col("rep").alias("b"), "n", (F.col("size_a") - F.col("n")).alias("shorter")).distinct(), "routes")
+        trail.append(path)
+        most = routes.groupBy("a").agg(F.greatest(F.max("shorter"), F.lit(0)).alias("shorter"))
+        found, path = judged_pairs(routes.select("a", "b").distinct().join(most, "a"), own, percent)
+        trail.append(path)
+        edges = edges.union(found.where("linked").select("a", "b"))
+        # Elements that c has and x lacks only bring together x smaller than c, and y that such an x may link to.
+        nearest = found.groupBy("a").agg(F.min(F.when(~F.col("linked"), F.col("gap"))).alias("nearest")).where("nearest is not null")
+        dealt = routes.join(found, ["a", "b"]).join(nearest, "a")
+        less = F.when(~F.col("linked") | (F.col("shorter") >= F.col("nearest")), F.col("less")).otherwise(F.array().cast("array<bigint>"))
+        dealt = dealt.select("a", F.col("b").alias("rep"), "n", "linked", "gap", "shorter", "adds", "lacks", F.explode(F.concat(F.transform("more", lambda e: F.struct(F.lit(True).alias("more"), e.alias("e"))), F.transform(less, lambda e: F.struct(F.lit(False).alias("more"), e.alias("e"))))).alias("d"))
+        dealt = dealt.select(F.xxhash64("a", "d.e").alias("bucket"), "rep", "n", "linked", "gap", "shorter", "adds", "lacks", F.col("d.more").alias("more"))
+        members, path = written(shared_buckets(dealt), "members")
+        trail.append(path)
+        if empty(members):
+            break
+    else:
+        sides = [members.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "linked", "gap", "shorter", "more", "adds", "lacks")]) for k in "xy"]
+        reach = F.col("more_x") | (F.col("shorter_x") >= F.col("gap_y")) | (~F.col("linked_x") & (F.col("shorter_y") >= F.col("gap_x")))
+        sized = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+        # What x and y must share beside the centre, of what they can.
+        t = percent / 100
+        reach &= F.least("adds_x", "adds_y") + F.least("lacks_x", "lacks_y") >= (F.col("lacks_x") + t * F.col("adds_x") + t * F.col("gap_y")) / (1 + t) - 1e-9
+        once = ~F.col("linked_y") & (F.col("linked_x") | (F.col("rep_x") < F.col("rep_y"))) & (F.col("rep_x") != F.col("rep_y"))
+        pairs = sides[0].join(sides[1], "bucket").where(once & reach & sized)
+        pairs, path = written(pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"), F.lit(0).alias("shorter")).distinct(), "pairs")
+        trail.append(path)
+        found, path = judged_pairs(pairs, own, percent)
         trail.append(path)
-        found = confirmed(pairs, own, percent)
-        links = found if links is None else links.union(found)
-        labels = with_components(links)
+        edges = edges.union(found.where("linked").select("a", "b"))
+    labels = with_components(edges)
     removed(spark, *trail)
     reps = sets.select("k1", "k2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     whole = signed.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left")

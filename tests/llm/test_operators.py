@@ -267,7 +267,7 @@ def test_links_past_a_centre_share_an_element():
         for i, j in itertools.combinations(range(1, 8), 2):
             if 100 * len(group[i] & group[j]) >= percent * len(group[i] | group[j]) and not (told[i][0] and told[j][0]):
                 seen += 1
-                assert set(np.concatenate(told[i][2:]).tolist()) & set(np.concatenate(told[j][2:]).tolist())
+                assert set(np.concatenate(told[i][2:4]).tolist()) & set(np.concatenate(told[j][2:4]).tolist())
     assert seen > 500
 
 
