@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, wherever the driver imported it from."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="sextant-"), "sextant_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    out.write(whole, os.path.join("sextant", os.path.relpath(whole, top)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
 
 def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session; on a cluster use the session you have."""
