@@ -62,7 +62,11 @@ def contents(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "path string, data binary, blob string, language string")
     base = os.path.abspath(root)
-    files = spark.read.format("binaryFile").load([os.path.join(base, p) for p in paths])
+    # Spark's file sources pass over empty files.
+    bare = [(p, bytearray()) for p in paths if not os.path.getsize(os.path.join(base, p))]
+    full = [os.path.join(base, p) for p in paths if os.path.getsize(os.path.join(base, p))]
+    none = spark.createDataFrame([(os.path.join(base, p), d) for p, d in bare], "path string, content binary")
+    files = spark.read.format("binaryFile").load(full).select("path", "content").unionByName(none) if full else none
     named = F.regexp_replace(F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), "^file:/+", "/")), "^" + re.escape(base) + "/", "")
     return files.select(named.alias("path"), F.col("content").alias("data"), text.blob_id(F.col("content")).alias("blob")).withColumn("language", text.language_of("path", F.decode(F.substring("data", 1, HEAD_BYTES), "ISO-8859-1")))
 
