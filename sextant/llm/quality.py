@@ -189,10 +189,10 @@ def scored(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     get the same score. No documents give no rows; no labels give 0.5. The names must be free.
     """
     payload = documents.columns
-    known = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(
-        labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id"
-    )
-    measured, path = written(known.select("y", "text").mapInArrow(_measured, "y double, x array<double>"), "statistics")
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("y"))
+    # Statistics are joined with labels, not texts.
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measured, "doc_id long, x array<double>")
+    measured, path = written(every.join(known, "doc_id").select("y", "x"), "statistics")
     model = fitted(measured, **settings)
     removed(documents.sparkSession, path)
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in payload)
