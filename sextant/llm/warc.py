@@ -2,8 +2,8 @@
 
 Records are written by Spark's own text writer into the shared folder, one record a line
 with the record's closing blank lines as line separator, so files reach any store that Spark
-reaches. They are read back whole, file by file, and cut by Content-Length. Files are kept
-small by the rows that one may hold.
+reaches. They are read back whole, file by file, and cut by Content-Length. Files are compressed, and kept
+small by the rows that one may hold; offsets and lengths are those of the plain archive.
 
 Each archive file gives one run of captures, sorted where it is read. Runs are cut at sampled
 keys (URL key, time, page), so that a hot URL's captures spread over several ranges; each
@@ -13,16 +13,19 @@ range merges its pieces of runs with a loser tree into one ordered capture histo
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import scratch, written
+from sextant.session import shipped
 
 #: Rows of one archive file.
 FILE_ROWS = 2000
@@ -108,7 +111,7 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for k in range(part.num_rows):
             path, found = part.column("path")[k].as_py(), []
-            for fields, block, offset, length in records(part.column("content")[k].as_py()):
+            for fields, block, offset, length in records(gzip.decompress(part.column("content")[k].as_py())):
                 says = fields["warc-payload-digest"].removeprefix("sha1:")
                 kind = fields["warc-type"]
                 if kind == "response" and (digest(block) != says or len(block) != int(fields["x-payload-length"])):
@@ -168,7 +171,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flushed() -> Iterator[pa.RecordBatch]:
         merged, at = iter(LoserTree([iter(r) for r in runs.values()])), 0
-        while block := [row for row, _ in zip(merged, range(4096), strict=False)]:
+        while block := list(islice(merged, 4096)):
             columns = [pa.array([row[i] for row in block], t) for i, t in enumerate(KINDS)]
             yield pa.RecordBatch.from_arrays([pa.array([now] * len(block), pa.int32()), pa.array(range(at, at + len(block)), pa.int64()), *columns], names=["range", "place", *NAMES])
             at += len(block)
@@ -196,7 +199,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, file_rows: int = FI
     own = own.withColumns({"sha": F.sha1("html"), "n": F.octet_length("html")})
     firsts = own.select("page_id", "sha", "n").where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     known = own.join(firsts, ["sha", "n"], "left").select("page_id", "url", "html", "first")
-    known.mapInArrow(_texts, "value string").write.option("lineSep", ENDING).option("maxRecordsPerFile", file_rows).text(path)
+    known.mapInArrow(_texts, "value string").write.option("lineSep", ENDING).option("maxRecordsPerFile", file_rows).option("compression", "gzip").text(path)
 
 
 def captures(pages: DataFrame, path: str) -> DataFrame:
@@ -245,6 +248,7 @@ def archived(pages: DataFrame, path: str | None = None, least_bytes: int = 0) ->
     One row per row of `pages`; repeated rows give repeated records. White space and control
     characters in a URL are percent-encoded. No pages give no files and no rows.
     """
+    shipped(pages.sparkSession)
     path = path or scratch(pages.sparkSession, "warc")
     write(pages, path, least_bytes)
     return histories(written(captures(pages, path), "captures")[0])
