@@ -9,10 +9,16 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of a batch sent to Python, in place of Spark's defaults: texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 
 
 def shipped(spark: SparkSession) -> None:
-    """Send this package to the executors once an application, wherever the driver imported it from."""
+    """Send this package to the executors once an application, wherever the driver imported it
+    from, and keep Arrow's batches small where the session leaves them at the default."""
+    for name, usual, now in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", now)
     if spark.sparkContext.applicationId in _SHIPPED:
         return
     top = os.path.dirname(os.path.abspath(__file__))
