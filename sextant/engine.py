@@ -20,6 +20,7 @@ from sextant.extract import VERSION, extract
 from sextant.functions import text
 from sextant.operators import graph, history, intervals, render, search, store
 from sextant.resolve import edges as resolve
+from sextant.resolve import live
 from sextant.session import settled, shipped
 from sextant.sources import git
 
@@ -110,9 +111,13 @@ class Engine:
         return self._dealt("symbols")
 
     def edges(self) -> DataFrame:
-        """All uses with what they reach."""
-        parts = {p: self._dealt(p) for p in ("symbols", "calls", "refs", "imports")}
-        return settled(resolve.resolved(self.files(), *(parts[p] for p in ("symbols", "calls", "refs", "imports"))))
+        """All uses with what they reach, kept under the worktree's digest."""
+        return store.kept_view(self.spark, self.kept, "edges", f"{VERSION}-{self.digest()}", self._resolved)
+
+    def _resolved(self) -> DataFrame:
+        parts = {p: self._dealt(p) for p in ("symbols", "calls", "refs", "imports", "branches")}
+        symbols = live.live(parts["symbols"], parts["branches"])
+        return resolve.resolved(self.files(), symbols, *(parts[p] for p in ("calls", "refs", "imports")))
 
     def digest(self) -> str:
         row = store.digest(self.files().withColumn("all", F.lit(1)), ["all"], "path", "blob").first()

@@ -19,6 +19,7 @@ FILES = {
     "c/a.h": "#ifndef A_H\n#define A_H\nint add(int a, int b);\n#endif\n",
     "c/a.c": '#include "a.h"\n/* Adds. */\nint add(int a, int b)\n{\n    return a + b;\n}\n',
     "c/main.c": '#include "a.h"\nstatic int twice(int a)\n{\n    return add(a, a);\n}\n',
+    "c/port.c": "#ifdef _WIN32\nint port(void)\n{\n    return 1;\n}\n#else\nint port(void)\n{\n    return 2;\n}\n#endif\nint use_port(void)\n{\n    return port();\n}\n",
     "bin/lib.sh": "# Greets.\ngreet() {\n  echo hi\n}\n",
     "bin/hook": "#!/usr/bin/env bash\nsource \"$(dirname \"$0\")/lib.sh\"\ngreet world\n",
     "nix/mod.nix": '{ lib, config, ... }:\n{\n  options.services.demo.enable = lib.mkEnableOption "demo";\n  config = lib.mkIf config.services.demo.enable { };\n}\n',
@@ -47,7 +48,7 @@ def engine(spark, tmp_path_factory):
 
 
 def test_a_second_check_extracts_nothing(engine):
-    assert engine.first == {"listed": 11, "hashed": 11, "extracted": 11, "gone": 0}
+    assert engine.first == {"listed": 12, "hashed": 12, "extracted": 12, "gone": 0}
     assert engine.check()["extracted"] == 0
 
 
@@ -65,6 +66,7 @@ def test_callers(engine):
     assert "pkg/base.py:14-15 function helper: 3 callers, 0 possible" in got and "  pkg/shop.py run: call 18" in got and "  pkg/shop.py Shop.close: call 8" in got
     assert "src/lib.rs Store::put: call 5" in engine.callers("Store::check").render()
     assert "c/main.c twice: call 4" in engine.callers("c/a.c:add").render()
+    assert "c/port.c:7-10 function port#2: 1 caller, 0 possible" in engine.callers("port").render()
     assert "bin/hook top: call 3" in engine.callers("greet").render()
     assert "docs/a.md guide: mention 3" in engine.callers("Shop.sell").render()
 
