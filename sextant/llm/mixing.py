@@ -140,7 +140,8 @@ def mixed_sources(
 def copies(mix: DataFrame, columns: list[str]) -> DataFrame:
     """The texts of a mix: each document as often as it is taken whole, and once more the words of its spans."""
     pieces = F.regexp_extract_all(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("mix_spans", lambda x: F.slice(pieces, x["s"] + 1, x["e"] - x["s"]))), "")
+    # As a lambda's argument the pieces are made once for a row, not once for a span.
+    part = F.transform(F.array(pieces), lambda p: F.array_join(F.flatten(F.transform("mix_spans", lambda x: F.slice(p, x["s"] + 1, x["e"] - x["s"]))), ""))[0]
     rest = [f"`{c}`" for c in columns if c != "text"]
     full = mix.where("mix_rounds > 0").select(*rest, "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_rounds"))).alias("mix_copy"))
     cut = mix.where(F.size("mix_spans") > 0).select(*rest, part.alias("text"))
