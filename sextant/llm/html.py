@@ -213,12 +213,11 @@ def style_trees(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAG
     own = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     found = own.mapInArrow(_contents, "host string, path long, shown boolean, content long, page long")
     held = found.distinct().groupBy("host", "path", "shown", "content").agg(F.count("*").alias("k"))
-    # Pages of one main text show a node alike, so the pages of a node are its rows of presentations.
-    over = held.where("shown").groupBy("host", "path").agg(F.sum("k").alias("m"))
-    part = F.col("k") / F.col("m")
-    nodes = held.join(over.where(F.col("m") >= least_pages), ["host", "path"]).groupBy("host", "path").agg(
-        (1 - F.avg(F.when(~F.col("shown"), F.ln("k") / F.ln("m")))).alias("content"), F.sum(F.when(F.col("shown"), -part * F.ln(part) / F.ln("m"))).alias("presentation")
-    )
+    # Pages of one main text show a node alike, so the pages m of a node are its rows of
+    # presentations. Sums are enough for both entropies, so hot nodes are added up before they move.
+    shown, ln_k = F.when(F.col("shown"), F.col("k")), F.ln("k")
+    nodes = held.groupBy("host", "path").agg(F.sum(shown).alias("m"), F.avg(F.when(~F.col("shown"), ln_k)).alias("contents"), F.sum(shown * ln_k).alias("presentations")).where(F.col("m") >= least_pages)
+    nodes = nodes.withColumns({"content": 1 - F.col("contents") / F.ln("m"), "presentation": 1 - F.col("presentations") / F.col("m") / F.ln("m")})
     importance = CONTENT * F.col("content") + (1 - CONTENT) * F.col("presentation")
     return nodes.where(importance < low).groupBy("host").agg(F.collect_list("path").alias("low"))
 
