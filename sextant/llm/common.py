@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -11,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.session import shipped
+
 #: Java and Python pattern of a word: anything but the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,6 +40,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: lineage ends there, and the
     files outlive any executor. Returns the table and its path, for `removed`."""
+    shipped(df.sparkSession)
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -58,7 +64,7 @@ def word_count(text: Column) -> Column:
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash; forgets all when it holds too many words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -95,6 +101,22 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def lean(run):
+    """A function over batches that gives its worker's freed memory back to the system at the end
+    of each task: workers live on beside the executor, within the same limit."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import as_bytes, removed, written
+from sextant.llm.common import as_bytes, lean, removed, written
 
 WINDOW = 10
 #: Bytes of pattern text that one automaton may hold (it takes some 30 times that); a
@@ -126,7 +126,7 @@ def scanned(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, pat
             out = out.select(*payload, F.struct("bm_n_words", "bm_starts", "bm_ends", "bm_items").alias("bm_before"))
             payload.append("bm_before")
         fields = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in payload)
-        out = out.select(*payload).mapInArrow(_scan(rows, payload), f"{fields}, {SCANNED}")
+        out = out.select(*payload).mapInArrow(lean(_scan(rows, payload)), f"{fields}, {SCANNED}")
         if k:
             out = _merged(out)
     removed(spark, path)

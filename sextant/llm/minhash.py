@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import LOWER, MASK, U64, WordHashes, as_bytes, batch, empty, mixed, removed, seeds, with_components, written
+from sextant.llm.common import LOWER, MASK, U64, WordHashes, as_bytes, batch, empty, lean, mixed, removed, seeds, with_components, written
 
 SHINGLE = 5
 #: 30 bands of 5 of 150 bins: a pair at similarity 0.85 shares no band with probability 2e-8.
@@ -173,10 +173,10 @@ def judged_pairs(pairs: DataFrame, documents: DataFrame, percent: int) -> tuple[
     """JUDGED of the pairs (a, b, shorter) of ids, from their full sets. Texts meet ids in a
     sort-merge join at every size."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held, path = written(documents.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, held binary"), "sets")
+    held, path = written(documents.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc_id long, held binary"), "sets")
     one, two = (held.select(F.col("doc_id").alias(k), F.col("held").alias(f"held_{k}")) for k in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "shorter", "held_a", "held_b")
-    out, out_path = written(both.mapInArrow(_judged(percent), "a long, b long, linked boolean, gap double, more array<long>, less array<long>, adds int, lacks int"), "judged")
+    out, out_path = written(both.mapInArrow(lean(_judged(percent)), "a long, b long, linked boolean, gap double, more array<long>, less array<long>, adds int, lacks int"), "judged")
     removed(pairs.sparkSession, path)
     return out, out_path
 
@@ -200,7 +200,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, bands: int = BANDS,
     """
     spark = documents.sparkSession
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed, _ = written(own.mapInArrow(_signed(bands, band_rows, seed), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
+    signed, _ = written(own.mapInArrow(lean(_signed(bands, band_rows, seed)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     sets = (
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import as_bytes, removed, written
+from sextant.llm.common import as_bytes, lean, removed, written
 
 FEATURES = 192
 RIDGE = 1e-4
@@ -191,7 +191,7 @@ def scored(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     payload = documents.columns
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("y"))
     # Statistics are joined with labels, not texts.
-    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measured, "doc_id long, x array<double>")
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_measured), "doc_id long, x array<double>")
     measured, path = written(every.join(known, "doc_id").select("y", "x"), "statistics")
     model = fitted(measured, **settings)
     removed(documents.sparkSession, path)
@@ -204,7 +204,7 @@ def scored(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
                 x = np.array([statistics(t) for t in as_bytes(part.column("qual_text"))]).reshape(part.num_rows, STATISTICS)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in payload), pa.array(model.score(x))], names=[*payload, "score"])
 
-    return documents.withColumn("qual_text", F.col("text").cast("string")).mapInArrow(run, f"{fields}, score double").withColumn("held_out", held_out(F.col("doc_id")))
+    return documents.withColumn("qual_text", F.col("text").cast("string")).mapInArrow(lean(run), f"{fields}, score double").withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def digested(rows: DataFrame, least: float = 0.7) -> DataFrame:

@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.llm.common import lean
+from sextant.session import shipped
+
 SHARDS = 16
 #: Rows that a range of keys within a shard holds about.
 RANGE_ROWS = 4000
@@ -113,6 +116,7 @@ def sharded(rows: DataFrame, shards: int = SHARDS, seed: int = 9, range_rows: in
     have columns shard, slot, shard_key or shard_partition.
     """
     spark = rows.sparkSession
+    shipped(spark)
     numbered = rows.withColumn("shard_partition", F.spark_partition_id())
     counts = {r.p: r.n for r in numbered.groupBy(F.col("shard_partition").alias("p")).agg(F.count("*").alias("n")).collect()}
     parts = sorted(counts)
@@ -129,7 +133,7 @@ def sharded(rows: DataFrame, shards: int = SHARDS, seed: int = 9, range_rows: in
 
     payload = rows.columns
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in payload)
-    labelled = numbered.mapInArrow(_labelled(matrix, seed, payload), f"{fields}shard int, shard_key long")
+    labelled = numbered.mapInArrow(lean(_labelled(matrix, seed, payload)), f"{fields}shard int, shard_key long")
     labelled = labelled.withColumn("range", F.shiftright("shard_key", KEY_BITS - ranges.bit_length() + 1))
     place = F.row_number().over(Window.partitionBy("shard", "range").orderBy("shard_key")) - 1
     ordered = labelled.withColumn("place", place).join(firsts, (F.col("shard") == F.col("s")) & (F.col("range") == F.col("r")))

@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import U64, WordHashes, as_bytes, mixed, removed, written
+from sextant.llm.common import U64, WordHashes, as_bytes, lean, mixed, removed, written
 
 WINDOW = 35
 GRAM = 8
@@ -165,7 +165,7 @@ def without_repeats(documents: DataFrame, width: int = WINDOW, gram: int = GRAM)
     row = F.xxhash64(*[F.col(f"`{c}`") for c in payload])
     texts = keyed.select("t1", "t2", row.alias("row")).groupBy("t1", "t2").agg(F.min("row").alias("rep"), (F.count("*") > 1).alias("copied"))
     light = keyed.select("t1", "t2", F.coalesce("sub_whole", F.lit("")).alias("text"))
-    found = light.mapInArrow(_anchored(width, gram), "t1 long, t2 int, anchor long, n int")
+    found = light.mapInArrow(lean(_anchored(width, gram)), "t1 long, t2 int, anchor long, n int")
     found, found_path = written(found, "anchors")
     repeated = found.groupBy("anchor").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.max("n").alias("n")).where("lo < hi or n > 1").select("anchor")
     repeated, repeated_path = written(repeated, "anchors")
@@ -175,7 +175,7 @@ def without_repeats(documents: DataFrame, width: int = WINDOW, gram: int = GRAM)
     removed(spark, found_path, repeated_path)
     whole = keyed.withColumn("row", row)
     some = whole.select("t1", "t2", "sub_whole", "row").join(known.where("again is not null"), ["t1", "t2"]).where("row = rep")
-    runs = some.select("t1", "t2", F.col("sub_whole").alias("text"), "again").mapInArrow(_runs(width, gram), "t1 long, t2 int, anchor long, run long, start int, windows array<long>")
+    runs = some.select("t1", "t2", F.col("sub_whole").alias("text"), "again").mapInArrow(lean(_runs(width, gram)), "t1 long, t2 int, anchor long, run long, start int, windows array<long>")
     runs, runs_path = written(runs, "runs")
     known, marks_path = written(known.select("t1", "t2", "copied"), "texts")
     removed(spark, known_path)
@@ -195,7 +195,7 @@ def without_repeats(documents: DataFrame, width: int = WINDOW, gram: int = GRAM)
     out = whole.join(marks, ["t1", "t2"], "left")
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in payload)
     spans = "sub_n_words long, sub_spans array<struct<s:int,e:int>>, sub_kept string"
-    return out.select(*[f"`{c}`" for c in payload], "sub_whole", "starts", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_removed(width, payload), f"{fields}, {spans}")
+    return out.select(*[f"`{c}`" for c in payload], "sub_whole", "starts", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(lean(_removed(width, payload)), f"{fields}, {spans}")
 
 
 def digested(cut: DataFrame) -> DataFrame:
