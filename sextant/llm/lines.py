@@ -5,12 +5,16 @@ tokens, then by the leading tokens, where a token with a digit in it stands for
 holds the lines of one path. Its commonest line, in terms of documents, is its template;
 lines that share enough of their tokens with it, place by place, are of that template, and
 the places in which they differ are variable fields. Other lines are templates of their own.
-A template found in enough documents is boilerplate, and its lines are dropped.
+A template found in enough documents is boilerplate, and its lines are dropped. The two joins
+that move texts are sort-merge joins at every size, so that a hot line's rows can be split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import removed, written
@@ -22,6 +26,28 @@ LEAST_DOCUMENTS = 3
 FIELD = "<*>"
 
 
+def shapes(lines: Column) -> Column:
+    """Of each line, its tokens between single spaces, those with a digit as FIELD, and how many
+    there are. Most lines have neither digits nor white space to mend, which plain searches of
+    their bytes tell; each step is a lambda's argument to the next, so it is made once."""
+
+    def masked(line: Column) -> Column:
+        fields = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
+        return F.when(reduce(or_, (F.contains(line, F.lit(d)) for d in "0123456789")), fields).otherwise(line)
+
+    def mended(line: Column) -> Column:
+        odd = reduce(or_, (F.contains(line, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r"))) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+        return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]++", " "))).otherwise(line)
+
+    counted = lambda x: F.struct(x.alias("shape"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("n"))
+    return F.transform(F.transform(F.transform(lines, masked), mended), counted)
+
+
+def leaf(n: Column, shape_: Column, depth: int) -> Column:
+    """The path down the tree: number of tokens, and the leading ones."""
+    return F.xxhash64(n, F.substring_index(shape_, " ", depth))
+
+
 def without_boilerplate(documents: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_tokens: int = LEAST_TOKENS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """`documents` (doc_id, text; other columns stay) and, of each row: line_n (lines),
     line_dropped (numbers, from 0, of the lines dropped, in order), line_kept (the other
@@ -34,11 +60,9 @@ def without_boilerplate(documents: DataFrame, depth: int = DEPTH, similar: float
     for a leaf's commonest line go to the line that is last in order. The line_ names must be free.
     """
     own = documents.withColumn("line_all", F.split(F.col("text").cast("string"), "\n", -1))
-    found = own.select("doc_id", F.posexplode("line_all").alias("at", "line")).withColumn("tokens", F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    found = found.withColumn("tokens", F.when(F.size("tokens") >= least_tokens, F.transform("tokens", lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))))
-    found = found.where("tokens is not null").select(
-        "doc_id", "at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("own"), F.array_join("tokens", " ").alias("shape")
-    )
+    # Made before the explosion, a shape is made once, however often it is used below.
+    found = own.select("doc_id", F.posexplode(shapes(F.col("line_all"))).alias("at", "x")).select("doc_id", "at", "x.shape", "x.n").where(F.col("n") >= least_tokens)
+    found = found.select("doc_id", "at", leaf(F.col("n"), F.col("shape"), depth).alias("leaf"), F.xxhash64("shape").alias("own"), "shape")
     light, light_path = written(found.drop("shape"), "lines")
     # Only leaves that enough documents reach can hold a template of as many.
     reached = light.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_documents).select("leaf")
@@ -46,27 +70,23 @@ def without_boilerplate(documents: DataFrame, depth: int = DEPTH, similar: float
     per_line, per_path = written(per_line, "shapes")
     most = per_line.groupBy("leaf").agg(F.max("n").alias("n"))
     # Each distinct line of such a leaf once, beside the leaf's commonest.
-    shapes = found.join(per_line.select("leaf", "own"), ["leaf", "own"], "left_semi").groupBy("leaf", "own").agg(F.first("shape").alias("shape"))
-    shapes, shapes_path = written(shapes, "shapes")
-    first = per_line.join(most, ["leaf", "n"]).join(shapes, ["leaf", "own"])
+    texts = found.join(per_line.select("leaf", "own").hint("merge"), ["leaf", "own"], "left_semi").groupBy("leaf", "own").agg(F.first("shape").alias("shape"))
+    texts, shapes_path = written(texts, "shapes")
+    first = per_line.join(most, ["leaf", "n"]).join(texts, ["leaf", "own"])
     heads = first.groupBy("leaf").agg(F.max(F.struct("shape", "own")).alias("h")).select("leaf", F.col("h.shape").alias("head"), F.col("h.own").alias("best"))
     one, two = F.split("shape", " "), F.split("head", " ")
     equal = F.aggregate(F.zip_with(one, two, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
     template = F.when(equal >= F.size(one) * similar, F.col("best")).otherwise(F.col("own"))
-    templates, templates_path = written(shapes.join(heads, "leaf").select("leaf", "own", template.alias("template")), "templates")
+    templates, templates_path = written(texts.join(heads, "leaf").select("leaf", "own", template.alias("template")), "templates")
     lines = light.join(templates, ["leaf", "own"]).select("doc_id", "at", "leaf", "template")
     common = lines.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n")).where(F.col("n") >= least_documents)
     gone = lines.join(common.select("leaf", "template"), ["leaf", "template"], "left_semi").select("doc_id", "at", "leaf").distinct()
     # A row of another text under the same doc_id must not lose its line of that number, so leaves go along.
     gone, _ = written(gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("at", "leaf")).alias("gone")), "gone")
     removed(documents.sparkSession, light_path, per_path, shapes_path, templates_path)
-    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-
-    def leaf_of(line):
-        tokens = F.transform(F.regexp_extract_all(line, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))
-        return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
-
-    numbers = F.transform(F.filter("gone", lambda g: (g["at"] < F.size("line_all")) & (g["leaf"] == leaf_of(F.element_at("line_all", F.least(g["at"] + 1, F.size("line_all")))))), lambda g: g["at"])
+    out = own.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    line = lambda g: F.element_at("line_all", F.least(g["at"] + 1, F.size("line_all")))
+    numbers = F.transform(F.filter("gone", lambda g: (g["at"] < F.size("line_all")) & F.exists(shapes(F.array(line(g))), lambda x: g["leaf"] == leaf(x["n"], x["shape"], depth))), lambda g: g["at"])
     out = out.withColumn("line_dropped", F.when(F.col("line_all").isNotNull(), F.coalesce(F.sort_array(F.array_distinct(numbers)), F.array().cast("array<int>"))))
     kept = F.filter("line_all", lambda x, i: ~F.array_contains("line_dropped", i))
     return out.select(
