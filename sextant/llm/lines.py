@@ -21,7 +21,6 @@ from sextant.llm.common import removed, written
 
 DEPTH = 3
 SIMILAR = 0.7
-LEAST_TOKENS = 4
 LEAST_DOCUMENTS = 3
 FIELD = "<*>"
 
@@ -48,20 +47,21 @@ def leaf(n: Column, shape_: Column, depth: int) -> Column:
     return F.xxhash64(n, F.substring_index(shape_, " ", depth))
 
 
-def without_boilerplate(documents: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_tokens: int = LEAST_TOKENS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+def without_boilerplate(documents: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """`documents` (doc_id, text; other columns stay) and, of each row: line_n (lines),
     line_dropped (numbers, from 0, of the lines dropped, in order), line_kept (the other
     lines, joined by line feeds).
 
-    Lines end at line feeds; tokens are runs of anything but ASCII white space. Lines of fewer
-    than `least_tokens` tokens, blank ones among them, stay. A template's documents are counted
+    Lines end at line feeds; tokens are runs of anything but ASCII white space. Blank lines
+    stay. The leaf of a line of up to `depth` tokens is all of the line, so short lines are of
+    a template only where they are equal, fields aside. A template's documents are counted
     by doc_id (null is one more); repeated rows and lines repeated within a document count
     once. A null text has no lines and line_kept null, an empty one has one empty line. Ties
     for a leaf's commonest line go to the line that is last in order. The line_ names must be free.
     """
     own = documents.withColumn("line_all", F.split(F.col("text").cast("string"), "\n", -1))
     # Made before the explosion, a shape is made once, however often it is used below.
-    found = own.select("doc_id", F.posexplode(shapes(F.col("line_all"))).alias("at", "x")).select("doc_id", "at", "x.shape", "x.n").where(F.col("n") >= least_tokens)
+    found = own.select("doc_id", F.posexplode(shapes(F.col("line_all"))).alias("at", "x")).select("doc_id", "at", "x.shape", "x.n").where(F.col("n") > 0)
     found = found.select("doc_id", "at", leaf(F.col("n"), F.col("shape"), depth).alias("leaf"), F.xxhash64("shape").alias("own"), "shape")
     light, light_path = written(found.drop("shape"), "lines")
     # Only leaves that enough documents reach can hold a template of as many.

@@ -131,6 +131,12 @@ def test_similar_lines_share_the_commonest_template(spark):
     assert got == {0: [0], 1: [0], 2: [0], 3: [0], 9: []}
 
 
+def test_short_lines_that_recur_go_and_blank_ones_stay(spark):
+    docs = [(i, f"All rights reserved.\n\n  \nOf.\nPage {i}\nown {'abcd'[i]}\n版权所有。") for i in range(4)] + [(9, "All rights kept.\nOf\nPage")]
+    got = {r.doc_id: (r.line_dropped, r.line_kept) for r in lines.without_boilerplate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: ([0, 3, 4, 6], f"\n  \nown {'abcd'[i]}") for i in range(4)} | {9: ([], docs[-1][1])}
+
+
 # 4
 
 
