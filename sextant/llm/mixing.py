@@ -8,7 +8,9 @@ moving the few seats that are too many or too few by their quotients. Seats go r
 output shards, which so get integer quotas of each source. A source's quota of blocks is all
 of its blocks as often as they go into it, and of the rest a seeded choice: block j is taken
 if (a * j + c) mod n falls below the number wanted, a prime to n, so no block is sorted or
-even listed. A document takes the words of its blocks.
+even listed. That number is also the block's seat among its source's, so its shard is known
+where it is chosen, and each shard holds its quota of each source. A document takes the words
+of its blocks.
 
 Words before a document in its source come from counts of hashed buckets, summed over the
 buckets, and a window within each; no source is gathered into one task.
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from sextant.llm.common import removed, word_count, written
 
 BLOCK = 32
+SHARDS = 16
 #: Documents that a bucket holds about.
 BUCKET_ROWS = 2000
 #: Primes, one of which is prime to any number of blocks below their product.
@@ -76,23 +79,30 @@ def apportioned(targets: DataFrame, votes: str) -> DataFrame:
     return joined.select("r.*", (F.col("first") + F.coalesce("moved", F.lit(0))).alias("quota")).drop("sum", "seats", "first", "lack", "n", "place")
 
 
+def seated(plan: DataFrame) -> DataFrame:
+    """`plan` and before: the seats of the sources before a source."""
+    before = F.sum("quota").over(Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1))
+    return plan.withColumn("before", F.coalesce(before, F.lit(0)).cast("long"))
+
+
 def shard_quotas(plan: DataFrame, shards: int) -> DataFrame:
     """source, shard, quota: the seats of all sources, one after the other, dealt round the shards."""
-    before = F.coalesce(F.sum("quota").over(Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = plan.withColumn("before", before).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = seated(plan).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     upto = lambda n: F.floor((n - F.col("shard") + shards - 1) / shards)  # noqa: E731  seats below n that this shard has
     return dealt.select("source", "shard", (upto(F.col("before") + F.col("quota")) - upto(F.col("before"))).cast("long").alias("quota"))
 
 
 def mixed_sources(
-    documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3, block: int = BLOCK, seed: int = 4, bucket_rows: int = BUCKET_ROWS
+    documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3, block: int = BLOCK, seed: int = 4, bucket_rows: int = BUCKET_ROWS, shards: int = SHARDS
 ) -> tuple[DataFrame, DataFrame]:
     """The mix of `documents` (doc_id, text, source; other columns stay) and its plan.
 
     The rows come back with mix_size (words; a null text has none), mix_source_size,
     mix_target (of the source), mix_rounds (how often the whole document is taken), mix_spans
-    (the runs of words [s, e) taken once more) and mix_taken (words the mix takes, repeats
-    counted). The plan has, of each source: source, size, weight, target, quota (blocks).
+    (the runs of words [s, e) taken once more), mix_taken (words the mix takes, repeats
+    counted) and mix_dealt (the runs of words [s, e) taken, those of whole documents too, each
+    with its block's seat and the shard it is dealt to, of `shards`; a block that reaches over
+    documents is in each). By `shard_quotas`, a shard holds as many seats of each source. The plan has, of each source: source, size, weight, target, quota (blocks).
 
     Words are runs of anything but ASCII white space. Sources stand in code point order, null
     last, and weigh `weights`, repeating. The mix is as large as the corpus, no source above
@@ -115,8 +125,8 @@ def mixed_sources(
     plan, _ = written(plan, "plan")
 
     seeded = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")), F.when(F.col("source").isNull(), ":").otherwise(""))), 1, 12), 16, 10).cast("long")
-    facts = plan.where("n_blocks > 0").select(
-        F.col("source").alias("ps"), "n_blocks", F.floor(F.col("quota") / F.col("n_blocks")).cast("long").alias("rounds"), (F.col("quota") % F.col("n_blocks")).alias("extra"),
+    facts = seated(plan).where("n_blocks > 0").select(
+        F.col("source").alias("ps"), "n_blocks", "before", F.floor(F.col("quota") / F.col("n_blocks")).cast("long").alias("rounds"), (F.col("quota") % F.col("n_blocks")).alias("extra"),
         F.coalesce(*[F.when(F.col("n_blocks") % p != 0, F.lit(p)) for p in PRIMES], F.lit(1)).cast("long").alias("a"), (seeded % F.col("n_blocks")).alias("c"),
     )
     sizes = plan.select(F.col("source").alias("zs"), F.col("size").alias("mix_source_size"), F.col("target").alias("mix_target"))
@@ -129,12 +139,20 @@ def mixed_sources(
     placed = placed.join(offsets, same("os") & (F.col("mix_bucket") == F.col("ob")), "left").join(sizes, same("zs"), "left").join(facts, same("ps"), "left")
     at, size = F.col("mix_at") + F.col("ahead"), F.col("mix_size")
     blocks = F.when(size > 0, F.sequence(F.floor(at / block), F.floor((at + size - 1) / block))).otherwise(F.array().cast("array<bigint>"))
-    chosen = F.filter(blocks, lambda j: (F.col("a") * j + F.col("c")) % F.col("n_blocks") < F.col("extra"))
-    spans = F.transform(chosen, lambda j: F.struct(F.greatest(j * block - at, F.lit(0)).cast("int").alias("s"), F.least((j + 1) * block - at, size).cast("int").alias("e")))
-    placed = placed.withColumns({"mix_rounds": F.coalesce("rounds", F.lit(0)).cast("long"), "mix_spans": spans})
+    nth = lambda j: (F.col("a") * j + F.col("c")) % F.col("n_blocks")
+    chosen = F.filter(blocks, lambda j: nth(j) < F.col("extra"))
+    run = lambda j: (F.greatest(j * block - at, F.lit(0)).cast("int").alias("s"), F.least((j + 1) * block - at, size).cast("int").alias("e"))
+    seat = lambda j, k: F.col("before") + k * F.col("n_blocks") + nth(j)
+    dealt = lambda j, k: F.struct((seat(j, k) % shards).cast("int").alias("shard"), seat(j, k).alias("seat"), *run(j))
+    whole_rounds = F.when(F.col("rounds") > 0, F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).otherwise(F.array().cast("array<bigint>"))
+    rounds = F.flatten(F.transform(whole_rounds, lambda k: F.transform(blocks, lambda j: dealt(j, k))))
+    placed = placed.withColumns({
+        "mix_rounds": F.coalesce("rounds", F.lit(0)).cast("long"), "mix_spans": F.transform(chosen, lambda j: F.struct(*run(j))),
+        "mix_dealt": F.concat(rounds, F.transform(chosen, lambda j: dealt(j, F.col("rounds")))),
+    })
     taken = F.col("mix_rounds") * size + F.aggregate("mix_spans", F.lit(0).cast("long"), lambda t, x: t + x["e"] - x["s"])
     made = ("mix_size", "mix_source_size", "mix_target", "mix_rounds", "mix_spans")
-    return placed.select(*[f"`{c}`" for c in documents.columns], *made, taken.alias("mix_taken")), plan.drop("n_blocks")
+    return placed.select(*[f"`{c}`" for c in documents.columns], *made, taken.alias("mix_taken"), "mix_dealt"), plan.drop("n_blocks")
 
 
 def copies(mix: DataFrame, columns: list[str]) -> DataFrame:

@@ -219,6 +219,22 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mixed_sources(spark.createDataFrame([], DOCS))[0].count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 4, 16])
+def test_shards_hold_the_quotas_of_each_source(spark, shards):
+    rng = random.Random(44)
+    rows = [(i, " ".join(f"w{x}" for x in range(rng.randrange(150))), ("a", "b", None)[min(i % 7, 2)]) for i in range(90)] + [(None, None, "a"), (3, "", "z")]
+    mix, plan = mixing.mixed_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), bucket_rows=20, shards=shards)
+    got, want, taken = {}, {(r.source, r.shard): r.quota for r in mixing.shard_quotas(plan, shards).collect()}, mix.collect()
+    assert any(r.mix_rounds for r in taken) and any(r.mix_spans for r in taken)
+    for r in taken:
+        assert sum(x.e - x.s for x in r.mix_dealt) == r.mix_taken
+        for n in range(r.mix_size):
+            assert sum(x.s <= n < x.e for x in r.mix_dealt) == r.mix_rounds + sum(x.s <= n < x.e for x in r.mix_spans)
+        for x in r.mix_dealt:
+            got.setdefault((r.source, x.shard), set()).add(x.seat)
+    assert {k: len(v) for k, v in got.items()} == {k: n for k, n in want.items() if n}
+
+
 def test_quotas_go_to_the_highest_quotients(spark):
     rng = random.Random(44)
     for _ in range(5):
