@@ -166,7 +166,7 @@ def callees_group(spark: SparkSession, d: str) -> DataFrame:
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Part to part edges: parts of one order, in order of their lines."""
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     on = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     return lines.join(on, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst")
 

@@ -46,3 +46,14 @@ def test_pagerank_reads_all_orders(spark, tables):
     at, rows = tables
     for query, jump in ((queries.pagerank_uniform, {k: 1 / 25 for k in range(25)}), (queries.pagerank_focus, {k: 0.5 * (k in (3, 7)) for k in range(25)})):
         assert {r.id: r.share for r in query(spark, at).collect()} == pytest.approx(brute_shares(rows, jump), abs=2e-6)
+
+
+def test_impact_follows_all_lines_of_an_order(spark, tables):
+    at, rows = tables
+    part_of = {(o, n): p for o, n, p in rows["lineitem"]}
+    level, front = {1: 0}, {1}
+    for k in (1, 2, 3):
+        front = {part_of[o, n + 1] for (o, n), p in part_of.items() if p in front and (o, n + 1) in part_of} - set(level)
+        level |= dict.fromkeys(front, k)
+    assert level.keys() >= {1, 52, 53, 54}
+    assert {r.id: r.level for r in queries.impact_levels(spark, at).collect()} == level
