@@ -191,11 +191,11 @@ class Engine:
         with open(os.path.join(self.root, path), errors="replace") as f:
             return f.read().split("\n")
 
-    def signature(self, row) -> str:
+    def signature(self, row, lines: list[str] | None = None) -> str:
         """The definition's head, up to its body, joined to one line of 200 characters at most."""
         if row.kind in ("file", "section"):
             return ""
-        lines = self._lines(row.path)[row.start - 1 : min(row.end, row.start + 7)]
+        lines = (self._lines(row.path) if lines is None else lines)[row.start - 1 : min(row.end, row.start + 7)]
         out = []
         for line in lines:
             bare = re.sub(r"\s*(//|#(?!\[|include|define|if|else|endif)).*$", "", line) if row.language != "nix" else line.split("#")[0]
@@ -364,15 +364,17 @@ class Engine:
         share = graph.pagerank(symbols.select("id"), self.graph(), weights)
         shown = share.where("share > 0").join(symbols.where(~F.col("kind").isin("file", "variant", *HIDDEN)), "id").where(~F.col("id").isin(*own) if own else F.lit(True))
         place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("share"), "path", "start", "ord"))
-        ranked = shown.withColumn("place", place).withColumn("best", F.min("place").over(Window.partitionBy("path"))).orderBy("best", "place").limit(2000).collect()
-        files = list(dict.fromkeys(r.path for r in ranked))
+        ranked = shown.withColumn("place", place).withColumn("best", F.min("place").over(Window.partitionBy("path"))).orderBy("best", "place").collect()
+        files: dict[str, list] = {}
+        for r in ranked:
+            files.setdefault(r.path, []).append(r)
         out.add(f"{len(ranked)} definitions in {len(files)} files, by PageRank" + (f" around {', '.join(focus)}" if focus else ""), 600_000, "summary")
-        for path in files:
-            inside = [r for r in ranked if r.path == path]
+        for path, inside in files.items():
             out.add(f"{path}:", 500_000 - min(r.place for r in inside), "files", heads=len(inside))
+            text_of = self._lines(path) if any(r.kind not in ("file", "section") for r in inside) else []
             for r in inside:
                 span = f"{r.start}" if r.start == r.end else f"{r.start}-{r.end}"
-                out.add(f"  {span} {self.signature(r) or r.kind + ' ' + r.name}", 500_000 - r.place, "definitions")
+                out.add(f"  {span} {self.signature(r, text_of) or r.kind + ' ' + r.name}", 500_000 - r.place, "definitions")
         return out
 
     # History.

@@ -88,6 +88,18 @@ def test_search_and_map(engine):
     assert len(small.render().encode()) <= 240 and small.json()["cut"]["budget"] == 60
 
 
+def test_map_ranks_every_definition(spark):
+    rows = [("a.py", k, "function", f"first{k}", 2 * k + 1, 2 * k + 2, "python") for k in range(2100)] + [("b.py", k, "function", f"last{k}", k + 1, k + 1, "python") for k in range(3)]
+    big = Engine.__new__(Engine)
+    big.spark, big.root = spark, "/tree"
+    big.symbols = lambda: spark.createDataFrame(rows, "path string, ord int, kind string, name string, start int, end int, language string")
+    big.graph = lambda: spark.createDataFrame([("a.py\t2099", "b.py\t2", 1.0)], "src string, dst string, w double")
+    big._lines = lambda path: [f"def of_{path[0]}{k}():" for k in range(4300)]
+    got = big.map(budget=1_000_000).json()
+    assert got["cut"] is None and got["results"][0] == "2103 definitions in 2 files, by PageRank" and got["results"][1] == "b.py:"
+    assert len(got["results"]) == 1 + 2 + 2103
+
+
 def test_why_and_touched(engine):
     got = engine.why("Shop.close").render()
     assert got.index(" Two") < got.index(" One")
