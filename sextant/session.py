@@ -46,11 +46,24 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as `spark.checkpoint.dir` names it. A local session that
+    names none gets one of its own; on a cluster such a folder would be spread over machines."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sextant-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` computed once into the checkpoint folder all executors share; lineage ends there."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sextant-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
