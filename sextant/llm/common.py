@@ -5,16 +5,18 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from sextant.session import shipped
+from sextant.session import shared_folder, shipped
 
 #: Java and Python pattern of a word: anything but the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,18 +25,23 @@ U64 = np.uint64
 MASK = (1 << 64) - 1
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sextant-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """This application's own folder below the one all executors share. It goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_folder(spark)}/sextant-{app}-{uuid.uuid4().hex[:8]}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
+        files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop)
+        files.deleteOnExit(hadoop)
+    return _FOLDERS[app]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sextant-{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -52,6 +59,66 @@ def removed(spark: SparkSession, *paths: str) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Door:
+    """The columns of a table under names of our own, in_0, in_1, ..., while an operator works
+    on it, so that no name it uses inside can meet one of the user's. At the way out they have
+    their names again, beside the columns `made`; one that has the name of a column made, in
+    any case, comes out with `_input` added. Ships the package before any Python function is made."""
+
+    def __init__(self, df: DataFrame, made: tuple[str, ...]):
+        shipped(df.sparkSession)
+        self.spark, self.names, self.made = df.sparkSession, df.columns, made
+        self.own = [f"in_{i}" for i in range(len(self.names))]
+        self.rows = df.select(*[quoted(c).alias(i) for c, i in zip(self.names, self.own, strict=True)])
+
+    def of(self, name: str) -> str:
+        """What a column is called inside."""
+        return self.own[[c.lower() for c in self.names].index(name.lower())]
+
+    def string(self, name: str, other: str) -> str:
+        """What a column is called inside as a string: of another type, it is cast beside itself as `other`."""
+        if self.rows.schema[self.of(name)].dataType == StringType():
+            return self.of(name)
+        self.rows = self.rows.withColumn(other, F.col(self.of(name)).cast("string"))
+        return other
+
+    def outer(self) -> list[str]:
+        """What the user's columns are called at the way out."""
+        taken, out = {c.lower() for c in self.made}, []
+        for c in self.names:
+            while c.lower() in taken:
+                c += "_input"
+            taken.add(c.lower())
+            out.append(c)
+        return out
+
+    def schema(self, ddl: str) -> StructType:
+        """The columns inside and those that `ddl` adds."""
+        return StructType([*self.rows.schema.fields[: len(self.own)], *StructType.fromDDL(ddl).fields])
+
+    def out(self, df: DataFrame, *made: Column) -> DataFrame:
+        return df.select(*[F.col(i).alias(c) for i, c in zip(self.own, self.outer(), strict=True)], *made)
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """The user's columns alone of what `out` gave, under their own names."""
+        return df.select(*[quoted(o).alias(c) for o, c in zip(self.outer(), self.names, strict=True)])
+
+
+def slices(part: pa.RecordBatch, column: str, rows: int = 512, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and, if they are more than one, `most` bytes of a text column."""
+    sizes = np.array(pc.fill_null(pc.binary_length(part.column(column)), 0), dtype=np.int64)
+    at = 0
+    while at < part.num_rows:
+        n = int(np.searchsorted(np.cumsum(sizes[at : at + rows]), most, side="right"))
+        n = min(max(1, n), rows, part.num_rows - at)
+        yield part.slice(at, n)
+        at += n
+
+
 def empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
 

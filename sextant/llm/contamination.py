@@ -7,7 +7,6 @@ whole words, and its end maps back to word numbers and from there to the origina
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,18 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import as_bytes, lean, removed, written
+from sextant.llm.common import Door, as_bytes, lean, removed, slices, written
 
 WINDOW = 10
-#: Bytes of pattern text that one automaton may hold (it takes some 30 times that); a
-#: larger benchmark is scanned for in as many passes as it needs.
+#: Bytes of patterns and of their items' ids that one automaton may hold (it takes some 30 times
+#: that); a larger benchmark is scanned for in as many passes as it needs.
 PATTERN_BYTES = 4_000_000
 
 #: ASCII that is no letter or digit becomes a space, A-Z become a-z, other bytes stay.
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(65)) + bytes(range(97, 123)) + bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(91, 256))
 
 
-
 def words_of(text: bytes | None) -> list[bytes]:
     return [] if text is None else text.translate(PLAIN).split()
 
@@ -64,13 +62,20 @@ def automaton(rows: list[tuple[bytes, int, list[str]]]) -> ahocorasick.Automaton
     return made
 
 
-def _scan(rows, payload: list[str]):
+#: The automaton that this worker made last, by its broadcast.
+_MADE: dict[int, ahocorasick.Automaton] = {}
+
+
+def _scan(rows, payload: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = automaton(rows.value)
-        for part in batches:
+        if rows.number not in _MADE:
+            _MADE.clear()
+            _MADE[rows.number] = automaton(rows.value)
+        made = _MADE[rows.number]
+        for part in (p for whole in batches for p in slices(whole, text)):
             counts, starts, ends, items = [], [], [], []
-            for text in as_bytes(part.column("text")):
-                words = words_of(text)
+            for text_ in as_bytes(part.column(text)):
+                words = words_of(text_)
                 counts.append(len(words))
                 plain = f" {b' '.join(words).decode('latin-1')} "
                 found = list(made.iter(plain))
@@ -92,12 +97,13 @@ def _scan(rows, payload: list[str]):
                 starts.append([a for a, _ in runs])
                 ends.append([b for _, b in runs])
                 items.append(sorted({i for _, (_, of) in found for i in of}))
-            made_columns = [pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in payload), *made_columns], names=[*payload, "bm_n_words", "bm_starts", "bm_ends", "bm_items"])
+            columns = [pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in payload), *columns], names=[*payload, *MADE])
 
     return run
 
 
+MADE = ("bm_n_words", "bm_starts", "bm_ends", "bm_items")
 SCANNED = "bm_n_words long, bm_starts array<int>, bm_ends array<int>, bm_items array<string>"
 
 
@@ -109,31 +115,59 @@ def scanned(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, pat
     Words are runs of a-z (A-Z lower-cased), digits and all characters beyond ASCII. A window
     is `width` consecutive words of an item; an item of fewer is one window, one without
     words, without text or without id has none. Null texts have no words. Repeated rows give
-    repeated results; items that repeat an id are one item. Other columns stay; none may
-    have these four names. A benchmark whose windows exceed `pattern_bytes` is scanned for
-    in several passes of that size each, so no automaton outgrows an executor.
+    repeated results; items that repeat an id are one item. Other columns stay; one that has
+    one of the four names comes back with `_input` added. A benchmark whose windows and item
+    ids exceed `pattern_bytes` is scanned for in several passes of that size each, written
+    between passes, so that no executor holds more than one automaton a task.
     """
-    spark = documents.sparkSession
+    door = Door(documents, MADE)
+    spark = door.spark
+    text = door.string("text", "bm_text")
     held, path = written(windows(benchmark, width), "windows")
-    size = held.agg(F.coalesce(F.sum(F.octet_length("held") + 2), F.lit(0))).first()[0]
+    ids = F.aggregate("items", F.lit(0), lambda t, x: t + F.octet_length(x) + 8)
+    size = held.agg(F.coalesce(F.sum(F.octet_length("held") + 2 + ids), F.lit(0))).first()[0]
     passes = max(1, -(-size // pattern_bytes))
-    out = documents
+    out, before = door.rows, None
     for k in range(passes):
         some = held.where(F.pmod(F.xxhash64("held"), F.lit(passes)) == k) if passes > 1 else held
-        rows = spark.sparkContext.broadcast([(bytes(r.held), r.words, list(r["items"])) for r in some.collect()])
-        payload = [c for c in out.columns if k == 0 or not c.startswith("bm_")]
+        rows = Patterns(spark.sparkContext.broadcast([(bytes(r.held), r.words, list(r["items"])) for r in some.collect()]))
+        payload = [*door.own, *(["bm_before"] if k else [])]
+        schema = door.schema((f"bm_before struct<{BEFORE}>, " if k else "") + SCANNED)
+        out = out.mapInArrow(lean(_scan(rows, payload, text)), schema)
         if k:
-            out = out.select(*payload, F.struct("bm_n_words", "bm_starts", "bm_ends", "bm_items").alias("bm_before"))
-            payload.append("bm_before")
-        fields = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in payload)
-        out = out.select(*payload).mapInArrow(lean(_scan(rows, payload)), f"{fields}, {SCANNED}")
-        if k:
-            out = _merged(out)
+            out = _merged(out, door.own)
+        if k + 1 < passes:
+            out, now = written(out, "scanned")
+            if before:
+                removed(spark, before)
+            before = now
+            cast = [] if text in door.own else [F.col(door.of("text")).cast("string").alias(text)]
+            out = out.select(*door.own, *cast, F.struct(*[F.col(c).alias(c) for c in MADE]).alias("bm_before"))
     removed(spark, path)
-    return out
+    return door.out(out, *[F.col(c) for c in MADE])
+
+
+BEFORE = SCANNED.replace(" long", ":bigint").replace(" array", ":array")
+
+
+class Patterns:
+    """A broadcast of patterns, and its number, by which a worker knows what it has made."""
+
+    def __init__(self, sent):
+        self.sent, self.number = sent, sent._jbroadcast.id()
+
+    def __getstate__(self):
+        return self.sent, self.number
+
+    def __setstate__(self, state):
+        self.sent, self.number = state
+
+    @property
+    def value(self):
+        return self.sent.value
 
 
-def _merged(df: DataFrame) -> DataFrame:
+def _merged(df: DataFrame, rest: list[str]) -> DataFrame:
     """Runs of this pass and of those before, as runs apart."""
     runs = F.array_sort(F.concat(F.arrays_zip(F.col("bm_starts").alias("s"), F.col("bm_ends").alias("e")), F.arrays_zip(F.col("bm_before.bm_starts").alias("s"), F.col("bm_before.bm_ends").alias("e"))))
     joined = F.aggregate(
@@ -143,7 +177,6 @@ def _merged(df: DataFrame) -> DataFrame:
                                  F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["s"].alias("s"), F.greatest(F.element_at(done, -1)["e"], run["e"]).alias("e")))))
         .otherwise(F.concat(done, F.array(F.struct(run["s"].alias("s"), run["e"].alias("e"))))),
     )
-    rest = [c for c in df.columns if not c.startswith("bm_")]
     return df.withColumn("bm_runs", joined).select(
         *rest, "bm_n_words", F.col("bm_runs.s").alias("bm_starts"), F.col("bm_runs.e").alias("bm_ends"), F.sort_array(F.array_union("bm_items", "bm_before.bm_items")).alias("bm_items")
     )

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import LOWER, MASK, U64, WordHashes, as_bytes, batch, empty, lean, mixed, removed, seeds, with_components, written
+from sextant.llm.common import LOWER, MASK, U64, WordHashes, as_bytes, batch, empty, lean, mixed, removed, seeds, slices, with_components, written
+from sextant.session import shipped
 
 SHINGLE = 5
 #: 30 bands of 5 of 150 bins: a pair at similarity 0.85 shares no band with probability 2e-8.
@@ -94,8 +95,7 @@ def _signed(bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                part = whole.slice(at, 512)
+            for part in slices(whole, "text", 256):
                 sets = [shingles(t, words) for t in as_bytes(part.column("text"))]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 made = sketches([sets[i] for i in full], bands * rows, seed).reshape(len(full), bands, rows)
@@ -116,8 +116,7 @@ def _signed(bands: int, rows: int, seed: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            part = whole.slice(at, 256)
+        for part in slices(whole, "text", 256):
             yield batch(SETS, doc_id=part.column("doc_id"), held=[shingles(t, words).tobytes() for t in as_bytes(part.column("text"))])
 
 
@@ -157,8 +156,7 @@ JUDGED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())
 def _judged(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
+            for part in slices(whole, "held_b", 256):
                 found = []
                 for c, x, shorter in zip(part.column("held_a"), part.column("held_b"), part.column("shorter").to_pylist(), strict=True):
                     c, x = (np.frombuffer(v.as_buffer(), U64) for v in (c, x))
@@ -199,6 +197,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, bands: int = BANDS,
     and it is kept. Copies give as many rows as came in; an empty table gives none.
     """
     spark = documents.sparkSession
+    shipped(spark)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed, _ = written(own.mapInArrow(lean(_signed(bands, band_rows, seed)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     sets = (

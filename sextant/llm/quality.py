@@ -1,11 +1,12 @@
 """Quality classifier: ridge on random Fourier features of document statistics, calibrated.
 
-One pass over the texts gives each document some thirty statistics. Random cosines of the
+A pass over the texts gives each document 23 statistics. Random cosines of the
 scaled statistics approximate a Gaussian kernel; each partition sums its normal equations,
 the sums are added up and solved once. Scores of the labelled rows are counted in fixed bins,
 isotonic regression of the bins gives what share of label 1 a score stands for, and scores
-between bins are interpolated. All labelled rows to learn from are learned from; what reaches
-the driver are sums whose size depends on the number of features alone.
+between bins are interpolated. At most FIT_ROWS labels, those of least hash, are learned from,
+so the texts are measured once to be scored, and only those of these labels once more before.
+What reaches the driver are sums whose size depends on the number of features alone.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import as_bytes, lean, removed, written
+from sextant.llm.common import Door, as_bytes, lean, removed, slices, written
 
 FEATURES = 192
 RIDGE = 1e-4
 BINS = 512
+#: Labels that are learned from at most. Their ids are what is broadcast.
+FIT_ROWS = 50_000
 #: Symbols counted one by one, as a share of words.
 MARKS = b"!|%#$&*.,?;:-_=<>{}[]()/\\@~^+\"'"
 #: Symbols of MARKS that have a statistic of their own; the others share one.
@@ -59,8 +62,7 @@ def statistics(text: bytes | None) -> list[float]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            part = whole.slice(at, 1024)
+        for part in slices(whole, "text", 1024, 4 << 20):
             made = pa.array([statistics(t) for t in as_bytes(part.column("text"))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), made], names=[*(c for c in part.schema.names if c != "text"), "x"])
 
@@ -179,32 +181,36 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def scored(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **settings) -> DataFrame:
     """`documents` (doc_id long, text string; other columns stay) with held_out and score, the
     likelihood of `labels.quality` 1 by the whole text alone.
 
     Labels (doc_id, quality 0 or 1; a null label or id is left out) are learned from where
-    `held_out` is false; labels that repeat count as often as they do, those of no document not at
-    all. Null and empty texts have statistics of zero and are scored like others. Repeated rows
-    get the same score. No documents give no rows; no labels give 0.5. The names must be free.
+    `held_out` is false, `fit_rows` of them at most; labels that repeat count as often as they
+    do, and so do documents that share an id; those of no document do not count. Null and empty
+    texts have statistics of zero and are scored like others. Repeated rows get the same score.
+    No documents give no rows; no labels give 0.5. Columns named score or held_out come back
+    with `_input` added.
     """
-    payload = documents.columns
-    known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("y"))
-    # Statistics are joined with labels, not texts.
-    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_measured), "doc_id long, x array<double>")
-    measured, path = written(every.join(known, "doc_id").select("y", "x"), "statistics")
+    door = Door(documents, ("score", "held_out"))
+    ids, text = F.col(door.of("doc_id")), door.string("text", "qual_text")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)
+    # The labels are at most `fit_rows` pairs of numbers; texts stay where they are.
+    some = door.rows.select(ids.cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    measured, path = written(some.select("y", "text").mapInArrow(lean(_measured), "y double, x array<double>"), "statistics")
     model = fitted(measured, **settings)
-    removed(documents.sparkSession, path)
-    fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in payload)
+    removed(door.spark, path)
+    own = door.own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                part = whole.slice(at, 1024)
-                x = np.array([statistics(t) for t in as_bytes(part.column("qual_text"))]).reshape(part.num_rows, STATISTICS)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in payload), pa.array(model.score(x))], names=[*payload, "score"])
+            for part in slices(whole, text, 1024, 4 << 20):
+                x = np.array([statistics(t) for t in as_bytes(part.column(text))]).reshape(part.num_rows, STATISTICS)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(model.score(x))], names=[*own, "qual_score"])
 
-    return documents.withColumn("qual_text", F.col("text").cast("string")).mapInArrow(lean(run), f"{fields}, score double").withColumn("held_out", held_out(F.col("doc_id")))
+    rows = door.rows.mapInArrow(lean(run), door.schema("qual_score double"))
+    return door.out(rows, F.col("qual_score").alias("score"), held_out(ids).alias("held_out"))
 
 
 def digested(rows: DataFrame, least: float = 0.7) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Substring dedup: Rabin-Karp hashes of every window of tokens, counted in Spark.
+"""Substring dedup: Rabin-Karp hashes of fixed-length windows of tokens, counted in Spark.
 
-Counting each window of the corpus as a row would shuffle several times the input, so
-windows are first told apart by their anchor: the 8-token gram of smallest hash in a
-window. Equal windows have equal anchors, so a window whose anchor occurs once in the
+Counting each window of the corpus as a row would shuffle several times the input, so all
+windows are first told apart by their anchor: the 8-token gram of smallest Rabin-Karp hash in
+a window. Equal windows have equal anchors, so a window whose anchor occurs once in the
 corpus cannot repeat; only windows with a repeated anchor are shuffled and counted. The
 anchors are every 14th token or so. The windows of one anchor in one place of a text are a
 run; runs are counted first, as one row each, and a run found twice is all repeated. Single
@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import U64, WordHashes, as_bytes, lean, mixed, removed, written
+from sextant.llm.common import U64, Door, WordHashes, as_bytes, lean, mixed, removed, slices, written
 
 WINDOW = 35
 GRAM = 8
@@ -63,8 +63,7 @@ def _anchored(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                part = whole.slice(at, 512)
+            for part in slices(whole, "text"):
                 t1, t2 = part.column("t1").to_numpy(), part.column("t2").to_numpy()
                 out: list[list[np.ndarray]] = [[], [], [], []]
                 for i, text in enumerate(as_bytes(part.column("text"))):
@@ -89,8 +88,7 @@ def _runs(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                part = whole.slice(at, 64)
+            for part in slices(whole, "text", 64):
                 t1s, t2s = (part.column(c).to_pylist() for c in ("t1", "t2"))
                 out: list[list] = [[], [], [], [], [], []]
                 for t1, t2, text, again in zip(t1s, t2s, as_bytes(part.column("text")), part.column("again"), strict=True):
@@ -126,13 +124,12 @@ def _starts(marks: pa.ListScalar) -> np.ndarray:
     return np.concatenate([np.arange(a, a + k) for a, k in zip(at.tolist(), n.tolist(), strict=True)])
 
 
-def _removed(width: int, payload: list[str]):
+def _removed(width: int, payload: list[str], column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
+            for part in slices(whole, column, 256):
                 n, spans, kept = [], [], []
-                for text, starts, copied in zip(as_bytes(part.column("sub_whole")), part.column("starts"), part.column("copied").to_pylist(), strict=True):
+                for text, starts, copied in zip(as_bytes(part.column(column)), part.column("starts"), part.column("copied").to_pylist(), strict=True):
                     tokens = [] if text is None else text.split()
                     n.append(len(tokens))
                     if copied and len(tokens) >= width:
@@ -157,24 +154,27 @@ def without_repeats(documents: DataFrame, width: int = WINDOW, gram: int = GRAM)
     Words are runs of anything but ASCII white space, unchanged. A null text is as an empty
     one: no words, no spans, kept ''. Texts of fewer than `width` words have no window.
     Windows are judged on the input, so all copies of a passage go. Repeated rows are copies
-    like others. Other columns stay; none may have these three names.
+    like others. Other columns stay, of whatever types; one that has one of the three names
+    comes back with `_input` added.
     """
-    payload = documents.columns
-    keyed = documents.withColumns({"sub_whole": F.col("text").cast("string")})
-    keyed = keyed.withColumns({"t1": F.xxhash64(F.coalesce("sub_whole", F.lit(""))), "t2": F.coalesce(F.length("sub_whole"), F.lit(0))})
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in payload])
+    door = Door(documents, ("sub_n_words", "sub_spans", "sub_kept"))
+    spark = door.spark
+    text = door.string("text", "sub_text")
+    keyed = door.rows.withColumns({"t1": F.xxhash64(F.coalesce(text, F.lit(""))), "t2": F.coalesce(F.length(text), F.lit(0))})
+    # Of copies of a text one row is looked at: one of least hash, by the columns that have one.
+    hashed = [f.name for f in door.rows.schema.fields if f.name in door.own and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    row = F.xxhash64(*hashed)
     texts = keyed.select("t1", "t2", row.alias("row")).groupBy("t1", "t2").agg(F.min("row").alias("rep"), (F.count("*") > 1).alias("copied"))
-    light = keyed.select("t1", "t2", F.coalesce("sub_whole", F.lit("")).alias("text"))
+    light = keyed.select("t1", "t2", F.coalesce(text, F.lit("")).alias("text"))
     found = light.mapInArrow(lean(_anchored(width, gram)), "t1 long, t2 int, anchor long, n int")
     found, found_path = written(found, "anchors")
     repeated = found.groupBy("anchor").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.max("n").alias("n")).where("lo < hi or n > 1").select("anchor")
     repeated, repeated_path = written(repeated, "anchors")
     flagged = found.join(repeated, "anchor").groupBy("t1", "t2").agg(F.collect_list("anchor").alias("again"))
     known, known_path = written(texts.join(flagged, ["t1", "t2"], "left"), "texts")
-    spark = documents.sparkSession
     removed(spark, found_path, repeated_path)
     whole = keyed.withColumn("row", row)
-    some = whole.select("t1", "t2", "sub_whole", "row").join(known.where("again is not null"), ["t1", "t2"]).where("row = rep")
+    some = whole.select("t1", "t2", F.col(text).alias("sub_whole"), "row").join(known.where("again is not null"), ["t1", "t2"]).where("row = rep")
     runs = some.select("t1", "t2", F.col("sub_whole").alias("text"), "again").mapInArrow(lean(_runs(width, gram)), "t1 long, t2 int, anchor long, run long, start int, windows array<long>")
     runs, runs_path = written(runs, "runs")
     known, marks_path = written(known.select("t1", "t2", "copied"), "texts")
@@ -192,10 +192,9 @@ def without_repeats(documents: DataFrame, width: int = WINDOW, gram: int = GRAM)
     starts = marks.union(whole_runs).groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
     marks, _ = written(known.join(starts, ["t1", "t2"], "left").where("copied or starts is not null"), "marks")
     removed(spark, runs_path, counted_path, looked_path, twice_path, marks_path)
-    out = whole.join(marks, ["t1", "t2"], "left")
-    fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in payload)
-    spans = "sub_n_words long, sub_spans array<struct<s:int,e:int>>, sub_kept string"
-    return out.select(*[f"`{c}`" for c in payload], "sub_whole", "starts", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(lean(_removed(width, payload)), f"{fields}, {spans}")
+    out = whole.join(marks, ["t1", "t2"], "left").select(*door.rows.columns, "starts", F.coalesce("copied", F.lit(False)).alias("copied"))
+    cut = out.mapInArrow(lean(_removed(width, door.own, text)), door.schema("sub_n_words long, sub_spans array<struct<s:int,e:int>>, sub_kept string"))
+    return door.out(cut, F.col("sub_n_words"), F.col("sub_spans"), F.col("sub_kept"))
 
 
 def digested(cut: DataFrame) -> DataFrame:
