@@ -5,30 +5,57 @@ documents. The blocks of the mix are given to the sources one by one, always to
 highest quotient target / (2 * blocks so far + 1): that is rounding target / divisor for the
 divisor at which the counts add up, so the counts are found by rounding near it and then
 moving the few seats that are too many or too few by their quotients. Seats go round the
-output shards, which so get integer quotas of each source. A source's quota of blocks is all
-of its blocks as often as they go into it, and of the rest a seeded choice: block j is taken
-if (a * j + c) mod n falls below the number wanted, a prime to n, so no block is sorted or
-even listed. That number is also the block's seat among its source's, so its shard is known
-where it is chosen, and each shard holds its quota of each source. A document takes the words
+output shards, which so get integer quotas of each source, before any block is chosen.
+
+Blocks are chosen by these quotas. A keyed permutation of a source's blocks, the swap-or-not
+shuffle, gives each block a number p of its own below their number n, so no block is sorted or
+even listed; when a source is gone through for the k-th time, the block stands for seat k * n + p
+of the source. Every `shards`-th seat is one shard's, so seat t is the shard's (t / shards)-th,
+and is taken if the shard's quota of the source is larger than that. A document takes the words
 of its blocks.
 
 Words before a document in its source come from counts of hashed buckets, summed over the
-buckets, and a window within each; no source is gathered into one task.
+buckets in two steps, and a window within each; no source is gathered into one task. Windows
+without a key stand over the sources only, a row each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import removed, word_count, written
+from sextant.llm.common import Door, quoted, removed, word_count, written
 
 BLOCK = 32
 SHARDS = 16
 #: Documents that a bucket holds about.
 BUCKET_ROWS = 2000
-#: Primes, one of which is prime to any number of blocks below their product.
-PRIMES = (1_000_003, 998_244_353, 1_000_000_007, 1_000_000_009)
+#: Rounds of the swap-or-not shuffle, and the prime its bits are hashed by.
+SWAPS = 24
+PRIME = (1 << 31) - 1
+
+
+def swaps(source: Column, n: Column, seed: int) -> Column:
+    """Keys of the rounds of a source's permutation of 0 to n - 1."""
+
+    def number(digest: Column, at: int, digits: int) -> Column:
+        return F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
+
+    named = F.concat(F.coalesce(source.cast("string"), F.lit("")), F.when(source.isNull(), ":").otherwise(""))
+    digests = F.transform(F.sequence(F.lit(1), F.lit(SWAPS)), lambda r: F.md5(F.concat(F.lit(f"{seed}:"), r.cast("string"), F.lit(":"), named)))
+    return F.transform(digests, lambda d: F.struct((number(d, 1, 12) % n).alias("k"), (number(d, 13, 7) + 1).alias("a"), number(d, 20, 7).alias("c"), number(d, 27, 6).alias("b")))
+
+
+def permuted(j: Column, keys: Column, n: Column) -> Column:
+    """Where the permutation takes j: in each round it goes to (k - j) mod n and back or stays, as a bit of the pair says."""
+
+    def moved(x: Column, r: Column) -> Column:
+        to = (r["k"] - x + n) % n
+        most = F.greatest(x, to)
+        bit = (most % PRIME * r["a"] + F.floor(most / PRIME) * r["c"] + r["b"]) % PRIME % 2
+        return F.when(bit == 1, to).otherwise(x)
+
+    return F.aggregate(keys, j, moved)
 
 
 def shares(sources: DataFrame, size: str, weights: list[float], limit: float) -> DataFrame:
@@ -92,6 +119,9 @@ def shard_quotas(plan: DataFrame, shards: int) -> DataFrame:
     return dealt.select("source", "shard", (upto(F.col("before") + F.col("quota")) - upto(F.col("before"))).cast("long").alias("quota"))
 
 
+MADE = ("mix_size", "mix_source_size", "mix_target", "mix_rounds", "mix_spans", "mix_taken", "mix_dealt")
+
+
 def mixed_sources(
     documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3, block: int = BLOCK, seed: int = 4, bucket_rows: int = BUCKET_ROWS, shards: int = SHARDS
 ) -> tuple[DataFrame, DataFrame]:
@@ -101,22 +131,28 @@ def mixed_sources(
     mix_target (of the source), mix_rounds (how often the whole document is taken), mix_spans
     (the runs of words [s, e) taken once more), mix_taken (words the mix takes, repeats
     counted) and mix_dealt (the runs of words [s, e) taken, those of whole documents too, each
-    with its block's seat and the shard it is dealt to, of `shards`; a block that reaches over
-    documents is in each). By `shard_quotas`, a shard holds as many seats of each source. The plan has, of each source: source, size, weight, target, quota (blocks).
+    with its block's seat, the shard whose quota it is of, and the turn of the source; a block
+    that reaches over documents is in each). By `shard_quotas`, a shard holds as many seats of
+    each source. The plan has, of each source: source, size, weight, target, quota (blocks).
 
     Words are runs of anything but ASCII white space. Sources stand in code point order, null
     last, and weigh `weights`, repeating. The mix is as large as the corpus, no source above
-    `limit` times its size. Repeated rows each have a place of their own. Where there are no
-    words, targets are 0. No rows give none. The mix_ names must be free.
+    `limit` times its size; a source's taken words differ from its target by a block, and by what
+    its last block lacks of `block` words each time that is taken. Repeated rows each have a place
+    of their own; places of rows of one doc_id and size are as good as each other. Where there
+    are no words, targets are 0. No rows give none. A column that has one of the seven names
+    comes back with `_input` added.
     """
-    sized = documents.withColumns({"mix_size": word_count(F.col("text").cast("string")), "mix_key": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))})
+    door = Door(documents, MADE)
+    ids, text, source = (F.col(door.of(c)) for c in ("doc_id", "text", "source"))
+    sized = door.rows.withColumns({"doc_id": ids, "source": source, "mix_size": word_count(text.cast("string")), "mix_key": F.md5(F.concat_ws(":", F.lit(str(seed)), ids.cast("string")))})
     light, light_path = written(sized.select("source", "mix_size", "mix_key"), "sizes")
     digits, n = 1, light.count()
     while 16**digits * bucket_rows < n:
         digits += 1
     bucket = F.substring("mix_key", 1, digits)
     counted, _ = written(light.groupBy("source", bucket.alias("bucket")).agg(F.sum("mix_size").alias("size")), "buckets")
-    removed(documents.sparkSession, light_path)
+    removed(door.spark, light_path)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     plan = shares(counted.groupBy("source").agg(F.sum("size").alias("size")), "size", list(weights), limit)
     plan = plan.withColumn("votes", F.floor(F.sum("size").over(whole) / block + 0.5))
@@ -124,14 +160,19 @@ def mixed_sources(
     plan = plan.withColumn("quota", F.least("quota", F.floor(F.col("n_blocks") * limit))).drop("votes")
     plan, _ = written(plan, "plan")
 
-    seeded = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")), F.when(F.col("source").isNull(), ":").otherwise(""))), 1, 12), 16, 10).cast("long")
-    facts = seated(plan).where("n_blocks > 0").select(
-        F.col("source").alias("ps"), "n_blocks", "before", F.floor(F.col("quota") / F.col("n_blocks")).cast("long").alias("rounds"), (F.col("quota") % F.col("n_blocks")).alias("extra"),
-        F.coalesce(*[F.when(F.col("n_blocks") % p != 0, F.lit(p)) for p in PRIMES], F.lit(1)).cast("long").alias("a"), (seeded % F.col("n_blocks")).alias("c"),
-    )
+    # What each shard is to hold of each source, before blocks are chosen.
+    quotas = shard_quotas(plan, shards).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("q")).select(F.col("source").alias("qs"), F.col("q.quota").alias("quotas"))
+    facts = seated(plan).where("n_blocks > 0").join(quotas, F.col("source").eqNullSafe(F.col("qs")))
+    facts = facts.select(F.col("source").alias("ps"), "n_blocks", "before", F.floor(F.col("quota") / F.col("n_blocks")).cast("long").alias("rounds"), "quotas", swaps(F.col("source"), F.col("n_blocks"), seed).alias("keys"))
     sizes = plan.select(F.col("source").alias("zs"), F.col("size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets, _ = written(counted.select(F.col("source").alias("os"), F.col("bucket").alias("ob"), ahead.alias("ahead")), "offsets")
+    # Words before a bucket: those before its part of the source, and those before it there.
+    coarse = F.substring("bucket", 1, (digits + 1) // 2)
+    earlier = lambda *by: Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counted.groupBy("source", coarse.alias("at")).agg(F.sum("size").alias("size"))
+    parts = parts.select(F.col("source").alias("cs"), F.col("at").alias("part"), F.coalesce(F.sum("size").over(earlier("source")), F.lit(0)).alias("part_ahead"))
+    fine = counted.select("source", coarse.alias("own_part"), F.col("bucket").alias("at"), "size").withColumn("ahead", F.coalesce(F.sum("size").over(earlier("source", "own_part")), F.lit(0)))
+    fine = fine.join(parts, F.col("source").eqNullSafe(F.col("cs")) & (F.col("own_part") == F.col("part")))
+    offsets, _ = written(fine.select(F.col("source").alias("os"), F.col("at").alias("ob"), (F.col("ahead") + F.col("part_ahead")).alias("ahead")), "offsets")
 
     inner = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("mix_bucket", bucket).withColumn("mix_at", F.coalesce(F.sum("mix_size").over(inner), F.lit(0)))
@@ -139,31 +180,32 @@ def mixed_sources(
     placed = placed.join(offsets, same("os") & (F.col("mix_bucket") == F.col("ob")), "left").join(sizes, same("zs"), "left").join(facts, same("ps"), "left")
     at, size = F.col("mix_at") + F.col("ahead"), F.col("mix_size")
     blocks = F.when(size > 0, F.sequence(F.floor(at / block), F.floor((at + size - 1) / block))).otherwise(F.array().cast("array<bigint>"))
-    nth = lambda j: (F.col("a") * j + F.col("c")) % F.col("n_blocks")
-    chosen = F.filter(blocks, lambda j: nth(j) < F.col("extra"))
-    run = lambda j: (F.greatest(j * block - at, F.lit(0)).cast("int").alias("s"), F.least((j + 1) * block - at, size).cast("int").alias("e"))
-    seat = lambda j, k: F.col("before") + k * F.col("n_blocks") + nth(j)
-    dealt = lambda j, k: F.struct((seat(j, k) % shards).cast("int").alias("shard"), seat(j, k).alias("seat"), *run(j))
-    whole_rounds = F.when(F.col("rounds") > 0, F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).otherwise(F.array().cast("array<bigint>"))
-    rounds = F.flatten(F.transform(whole_rounds, lambda k: F.transform(blocks, lambda j: dealt(j, k))))
-    placed = placed.withColumns({
-        "mix_rounds": F.coalesce("rounds", F.lit(0)).cast("long"), "mix_spans": F.transform(chosen, lambda j: F.struct(*run(j))),
-        "mix_dealt": F.concat(rounds, F.transform(chosen, lambda j: dealt(j, F.col("rounds")))),
-    })
-    taken = F.col("mix_rounds") * size + F.aggregate("mix_spans", F.lit(0).cast("long"), lambda t, x: t + x["e"] - x["s"])
-    made = ("mix_size", "mix_source_size", "mix_target", "mix_rounds", "mix_spans")
-    return placed.select(*[f"`{c}`" for c in documents.columns], *made, taken.alias("mix_taken"), "mix_dealt"), plan.drop("n_blocks")
+
+    def seats(j: Column, p: Column) -> Column:
+        """The seats that block j, of number p, stands for and that its shard's quota takes."""
+        run = (F.greatest(j * block - at, F.lit(0)).cast("int").alias("s"), F.least((j + 1) * block - at, size).cast("int").alias("e"))
+        seat = lambda k: k * F.col("n_blocks") + p
+        shard = lambda t: (F.col("before") + t) % shards
+        taken = F.filter(F.sequence(F.lit(0).cast("long"), F.col("rounds")), lambda k: F.floor(seat(k) / shards) < F.element_at("quotas", (shard(seat(k)) + 1).cast("int")))
+        return F.transform(taken, lambda k: F.struct(shard(seat(k)).cast("int").alias("shard"), (F.col("before") + seat(k)).alias("seat"), k.alias("turn"), *run))
+
+    # As a lambda's argument a block's number is made once, not once for a turn.
+    dealt = F.flatten(F.transform(blocks, lambda j: F.flatten(F.transform(F.array(permuted(j, F.col("keys"), F.col("n_blocks"))), lambda p: seats(j, p)))))
+    placed = placed.withColumns({"mix_rounds": F.coalesce("rounds", F.lit(0)).cast("long"), "mix_dealt": dealt})
+    spans = F.transform(F.filter("mix_dealt", lambda x: x["turn"] == F.col("mix_rounds")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    taken = F.aggregate("mix_dealt", F.lit(0).cast("long"), lambda t, x: t + x["e"] - x["s"])
+    made = [F.col(c) for c in MADE[:4]]
+    return door.out(placed, *made, spans.alias("mix_spans"), taken.alias("mix_taken"), F.col("mix_dealt")), plan.drop("n_blocks")
 
 
 def copies(mix: DataFrame, columns: list[str]) -> DataFrame:
-    """The texts of a mix: each document as often as it is taken whole, and once more the words of its spans."""
+    """`columns` of the rows of `mixed_sources`, text among them: each document as often as it is taken whole, and once more the words of its spans."""
     pieces = F.regexp_extract_all(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     # As a lambda's argument the pieces are made once for a row, not once for a span.
     part = F.transform(F.array(pieces), lambda p: F.array_join(F.flatten(F.transform("mix_spans", lambda x: F.slice(p, x["s"] + 1, x["e"] - x["s"]))), ""))[0]
-    rest = [f"`{c}`" for c in columns if c != "text"]
-    full = mix.where("mix_rounds > 0").select(*rest, "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_rounds"))).alias("mix_copy"))
-    cut = mix.where(F.size("mix_spans") > 0).select(*rest, part.alias("text"))
-    return full.drop("mix_copy").unionByName(cut).select(*[f"`{c}`" for c in columns])
+    full = mix.where("mix_rounds > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_rounds")))).select(*[quoted(c) for c in columns])
+    cut = mix.where(F.size("mix_spans") > 0).select(*[part.alias(c) if c == "text" else quoted(c) for c in columns])
+    return full.union(cut)
 
 
 def digested(mix: DataFrame) -> DataFrame:
