@@ -20,7 +20,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import empty, removed, written
+from sextant.llm.common import Door, empty, removed, written
 
 DEPTH = 3
 SIMILAR = 0.7
@@ -105,9 +105,13 @@ def without_boilerplate(documents: DataFrame, depth: int = DEPTH, similar: float
     a template only where they are equal, fields aside. A template's documents are counted
     by doc_id (null is one more); repeated rows and lines repeated within a document count
     once. A null text has no lines and line_kept null, an empty one has one empty line. Ties
-    for the commonest line go to the line that is last in order. The line_ names must be free.
+    for the commonest line go to the line that is last in order. Rows that share a doc_id are
+    one document: a line of one of them is also dropped where another has, under the same
+    number, a line of the same leaf that is. Other columns stay; one that has one of the three
+    names comes back with `_input` added.
     """
-    own = documents.withColumn("line_all", F.split(F.col("text").cast("string"), "\n", -1))
+    door = Door(documents, ("line_n", "line_dropped", "line_kept"))
+    own = door.rows.withColumns({"line_all": F.split(F.col(door.of("text")).cast("string"), "\n", -1), "doc_id": F.col(door.of("doc_id"))})
     # Made before the explosion, a shape is made once, however often it is used below.
     found = own.select("doc_id", F.posexplode(shapes(F.col("line_all"))).alias("at", "x")).select("doc_id", "at", "x.shape", "x.n").where(F.col("n") > 0)
     found = found.select("doc_id", "at", leaf(F.col("n"), F.col("shape"), depth).alias("leaf"), F.xxhash64("shape").alias("own"), "shape")
@@ -125,14 +129,14 @@ def without_boilerplate(documents: DataFrame, depth: int = DEPTH, similar: float
     gone = lines.join(common.select("leaf", "template"), ["leaf", "template"], "left_semi").select("doc_id", "at", "leaf").distinct()
     # A row of another text under the same doc_id must not lose its line of that number, so leaves go along.
     gone, _ = written(gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("at", "leaf")).alias("gone")), "gone")
-    removed(documents.sparkSession, light_path, per_path, shapes_path, *templates_paths)
+    removed(door.spark, light_path, per_path, shapes_path, *templates_paths)
     out = own.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     line = lambda g: F.element_at("line_all", F.least(g["at"] + 1, F.size("line_all")))
     numbers = F.transform(F.filter("gone", lambda g: (g["at"] < F.size("line_all")) & F.exists(shapes(F.array(line(g))), lambda x: g["leaf"] == leaf(x["n"], x["shape"], depth))), lambda g: g["at"])
     out = out.withColumn("line_dropped", F.when(F.col("line_all").isNotNull(), F.coalesce(F.sort_array(F.array_distinct(numbers)), F.array().cast("array<int>"))))
     kept = F.filter("line_all", lambda x, i: ~F.array_contains("line_dropped", i))
-    return out.select(
-        *[f"`{c}`" for c in documents.columns], F.when(F.col("line_all").isNull(), F.lit(0)).otherwise(F.size("line_all")).cast("long").alias("line_n"),
+    return door.out(
+        out, F.when(F.col("line_all").isNull(), F.lit(0)).otherwise(F.size("line_all")).cast("long").alias("line_n"),
         F.coalesce("line_dropped", F.array().cast("array<int>")).alias("line_dropped"), F.when(F.col("line_all").isNotNull(), F.array_join(kept, "\n")).alias("line_kept"),
     )
 

@@ -48,8 +48,9 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 
 OP1 = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-ok AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM v
+sc AS (SELECT vec_id, list_transform(x, lambda y: y / list_max(list_transform(x, lambda z: abs(z)))) AS x FROM v
   WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+ok AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM sc),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.9),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT a AS x, a AS y FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y),
@@ -72,16 +73,18 @@ t AS (SELECT source, size, CASE WHEN (SELECT level FROM f) IS NULL THEN most ELS
 q AS (SELECT source, target / (2 * k + 1) AS q, k, floor(total / 32.0 + 0.5) AS seats
       FROM (SELECT *, unnest(range(0, (target / 32)::BIGINT + 50)) AS k FROM t WHERE target > 0)),
 n AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source IS NULL, source, k) AS r FROM q) WHERE r <= seats GROUP BY source),
-p AS (SELECT t.source, t.size, t.target, least(coalesce(quota, 0), 3 * ceil(t.size / 32.0))::BIGINT AS quota, ceil(t.size / 32.0)::BIGINT AS n_blocks,
-        ('0x' || md5('4:' || coalesce(t.source, '') || CASE WHEN t.source IS NULL THEN ':' ELSE '' END)[1:12])::BIGINT AS seed
+p AS (SELECT t.source, t.size, t.target, least(coalesce(quota, 0), 3 * ceil(t.size / 32.0))::BIGINT AS quota, ceil(t.size / 32.0)::BIGINT AS n_blocks
       FROM t LEFT JOIN n ON n.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, quota // n_blocks AS rounds, quota % n_blocks AS extra, seed % n_blocks AS c,
-        CASE WHEN n_blocks % 1000003 <> 0 THEN 1000003 WHEN n_blocks % 998244353 <> 0 THEN 998244353 ELSE 1000000007 END AS a FROM p WHERE n_blocks > 0),
+m AS (SELECT *, list_transform(range(1, 25), lambda r: md5('4:' || r || ':' || coalesce(source, '') || CASE WHEN source IS NULL THEN ':' ELSE '' END)) AS md FROM p WHERE n_blocks > 0),
+e AS (SELECT source, n_blocks, quota // n_blocks AS rounds, quota % n_blocks AS extra, list_transform(md, lambda x: ('0x' || x[1:12])::BIGINT % n_blocks) AS k, list_transform(md, lambda x: ('0x' || x[13:19])::BIGINT + 1) AS a,
+        list_transform(md, lambda x: ('0x' || x[20:26])::BIGINT) AS c, list_transform(md, lambda x: ('0x' || x[27:32])::BIGINT) AS b FROM m),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d),
-j AS (SELECT o.doc_id, o.size, o.pos, e.rounds, e.extra, e.a, e.c, e.n_blocks, CASE WHEN o.size > 0 THEN range(o.pos // 32, (o.pos + o.size - 1) // 32 + 1) ELSE [] END AS js, o.source
+j AS (SELECT o.doc_id, o.size, o.pos, e.rounds, e.extra, e.k, e.a, e.b, e.c, e.n_blocks AS n, CASE WHEN o.size > 0 THEN range(o.pos // 32, (o.pos + o.size - 1) // 32 + 1) ELSE [] END AS js, o.source
       FROM o LEFT JOIN e ON e.source IS NOT DISTINCT FROM o.source)
 SELECT j.doc_id, j.size, p.size AS source_size, p.target,
-  (coalesce(rounds, 0) * j.size + coalesce(list_sum(list_transform(list_filter(js, lambda x: (a * x + c) % j.n_blocks < extra), lambda x: least((x + 1) * 32, pos + j.size) - greatest(x * 32, pos))), 0))::BIGINT AS taken
+  (coalesce(rounds, 0) * j.size + coalesce(list_sum(list_transform(list_filter(js, lambda y: list_reduce(range(1, 25), lambda x, r:
+      CASE WHEN (greatest(x, (k[r] - x + n) % n) % 2147483647 * a[r] + greatest(x, (k[r] - x + n) % n) // 2147483647 * c[r] + b[r]) % 2147483647 % 2 = 1 THEN (k[r] - x + n) % n ELSE x END, y) < extra),
+    lambda y: least((y + 1) * 32, pos + j.size) - greatest(y * 32, pos))), 0))::BIGINT AS taken
 FROM j JOIN p ON p.source IS NOT DISTINCT FROM j.source
 """
 
@@ -95,14 +98,15 @@ FROM g
 """
 
 OP3 = rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS at_ FROM documents),
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS at_ FROM documents),
 t AS (SELECT doc_id, at_, list_transform(regexp_extract_all(line, '{WORDS}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
-f AS (SELECT doc_id, at_, t, concat_ws(' ', len(t)::VARCHAR, array_to_string(t[1:3], ' ')) AS leaf FROM t WHERE len(t) >= 4),
+f AS MATERIALIZED (SELECT doc_id, at_, t, concat_ws(' ', len(t)::VARCHAR, array_to_string(t[1:3], ' ')) AS leaf FROM t WHERE len(t) > 0),
 r AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
-n AS (SELECT leaf, t, count(DISTINCT doc_id) AS n FROM f JOIN r USING (leaf) GROUP BY leaf, t),
-h AS (SELECT leaf, arg_max(t, (n, array_to_string(t, ' '))) AS head FROM n GROUP BY leaf),
-m AS (SELECT n.leaf, n.t, CASE WHEN len(list_filter(range(1, len(t) + 1), lambda i: t[i] = head[i])) >= len(t) * 0.7 THEN head ELSE t END AS tmpl FROM n JOIN h ON h.leaf = n.leaf),
-x AS (SELECT f.doc_id, f.at_, m.leaf, m.tmpl FROM f JOIN m ON m.leaf = f.leaf AND m.t = f.t),
+n AS MATERIALIZED (SELECT leaf, t, count(DISTINCT doc_id) AS n FROM f JOIN r USING (leaf) GROUP BY leaf, t),
+z AS (SELECT leaf, t, n, NULL::VARCHAR[] AS tmpl, 0 AS step FROM n
+  UNION ALL SELECT leaf, t, n, CASE WHEN len(list_filter(range(1, len(t) + 1), lambda i: t[i] = head[i])) >= len(t) * 0.7 THEN head END, step + 1
+  FROM (SELECT leaf, t, n, step, arg_max(t, (n, array_to_string(t, ' '))) OVER (PARTITION BY leaf) AS head, sum(n) OVER (PARTITION BY leaf) AS left_ FROM z WHERE tmpl IS NULL) WHERE left_ >= 3),
+x AS (SELECT f.doc_id, f.at_, z.leaf, z.tmpl FROM f JOIN z ON z.leaf = f.leaf AND f.t = z.t WHERE z.tmpl IS NOT NULL),
 c AS (SELECT leaf, tmpl FROM x GROUP BY leaf, tmpl HAVING count(DISTINCT doc_id) >= 3),
 g AS (SELECT doc_id, list(at_) AS gone FROM x JOIN c ON c.leaf = x.leaf AND c.tmpl = x.tmpl GROUP BY doc_id),
 d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
