@@ -2,13 +2,16 @@
 
 Vectors are turned onto the principal axes, ordered by the first and cut into tiles of
 bounded bytes. Two tiles are compared only where their ranges on the first axis are near
-enough for the threshold. Within a pair of tiles the leading coordinates are multiplied
+enough for the threshold and their boxes on the leading axes, with the longest of their
+remainders, let a pair reach it. Within a pair of tiles the leading coordinates are multiplied
 first; the norms of the rest of each vector bound what the rest of the product can add, so
 most pairs stop there, and those left go through more coordinates and then through the
 whole cosine, in double precision and of the vectors as they came.
 
-A pair of tiles gives each vector's number of links and a spanning forest of the links,
-never the links themselves; equal vectors are one vector with a weight.
+A tile's partners stream past it, so one tile and one partner are held at a time. A pair of
+tiles gives each vector's number of links and a spanning forest of the links, never the links
+themselves; equal vectors, as far as direction goes, are one vector with a weight. Vectors are
+scaled by their largest component first, so no square leaves the range of doubles.
 """
 
 from __future__ import annotations
@@ -20,18 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import removed, with_components, written
+from sextant.llm.common import lean, removed, with_components, written
+from sextant.session import shipped
 
 #: Bytes of a tile's vectors in double precision.
-TILE_BYTES = 2 << 20
+TILE_BYTES = 4 << 20
 #: Bytes of the vectors that the axes are fitted to. Only speed depends on the axes.
 FIT_BYTES = 4 << 20
-#: Coordinates after which a pair's product is bounded.
+#: Coordinates after which a pair's product is bounded; tiles have boxes on the first of them.
 STEPS = (16, 32)
 #: What single precision and the turn may be off by.
 SLACK = 1e-4
+#: Partners that stream past one copy of a tile.
+STREAM = 64
 
-TILES = "tile int, part int, dim int, ids binary, weights binary, raw binary"
+TILES = "k long, dim int, nodes binary, weights binary, raw binary, lo array<double>, hi array<double>, rest double"
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,35 +94,45 @@ def turned_to(axes: np.ndarray | None, raw: np.ndarray) -> np.ndarray:
     return unit if axes is None else unit @ axes
 
 
-def _tile(row: dict, end: str, axes: dict[int, np.ndarray]) -> dict:
-    dim = row["dim"]
-    ids, weights = (np.frombuffer(row[f"{c}_{end}"].as_buffer(), np.int64) for c in ("ids", "weights"))
-    raw = np.frombuffer(row[f"raw_{end}"].as_buffer(), np.float64).reshape(-1, dim)
-    return {"ids": ids, "weights": weights, "raw": raw, "turned": turned_to(axes.get(dim), raw)}
+def _tile(part: pa.RecordBatch, k: int, axes: dict[int, np.ndarray]) -> dict:
+    dim = part.column("dim")[k].as_py()
+    nodes, weights = (np.frombuffer(part.column(c)[k].as_buffer(), np.int64) for c in ("nodes", "weights"))
+    raw = np.frombuffer(part.column("raw")[k].as_buffer(), np.float64).reshape(-1, dim)
+    return {"nodes": nodes, "weights": weights, "raw": raw, "turned": turned_to(axes.get(dim), raw)}
+
+
+def _links(a: dict, b: dict, same: bool, threshold: float) -> pa.RecordBatch:
+    """What a pair of tiles tells: (a, b, degree) of nodes, a = b where only the degree counts."""
+    shift = 0 if same else len(a["nodes"])
+    nodes = a["nodes"] if same else np.concatenate((a["nodes"], b["nodes"]))
+    weights = a["weights"] if same else np.concatenate((a["weights"], b["weights"]))
+    degree = np.zeros(len(nodes), np.int64)
+    ends, roots = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in linked(a, b, same, threshold):
+        j = j + shift
+        degree += np.bincount(i, weights[j], len(nodes)).astype(np.int64) + np.bincount(j, weights[i], len(nodes)).astype(np.int64)
+        end, root = forest(i, j, len(nodes))
+        ends.append(end)
+        roots.append(root)
+    end, root = forest(np.concatenate(ends), np.concatenate(roots), len(nodes))
+    has = np.flatnonzero(degree)
+    made = [np.concatenate((nodes[has], nodes[end])), np.concatenate((nodes[has], nodes[root])), np.concatenate((degree[has], np.zeros(len(end), np.int64)))]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["a", "b", "degree"])
 
 
 def _compared(threshold: float, axes: dict[int, np.ndarray]):
+    """Rows of each (a, stream): the tile a itself first (b is null), then its partners."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
         for part in batches:
             for k in range(part.num_rows):
-                row = {c: part.column(c)[k] for c in part.schema.names}
-                row["dim"] = row["dim"].as_py()
-                a, b, same = _tile(row, "a", axes), _tile(row, "b", axes), row["same"].as_py()
-                shift = 0 if same else len(a["ids"])
-                ids = a["ids"] if same else np.concatenate((a["ids"], b["ids"]))
-                weights = a["weights"] if same else np.concatenate((a["weights"], b["weights"]))
-                degree = np.zeros(len(ids), np.int64)
-                nodes, roots = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for i, j in linked(a, b, same, threshold):
-                    j = j + shift
-                    degree += np.bincount(i, weights[j], len(ids)).astype(np.int64) + np.bincount(j, weights[i], len(ids)).astype(np.int64)
-                    node, root = forest(i, j, len(ids))
-                    nodes.append(node)
-                    roots.append(root)
-                node, root = forest(np.concatenate(nodes), np.concatenate(roots), len(ids))
-                has = np.flatnonzero(degree)
-                made = [np.concatenate((ids[has], ids[node])), np.concatenate((ids[has], ids[root])), np.concatenate((degree[has], np.zeros(len(node), np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["a", "b", "degree"])
+                if part.column("b")[k].as_py() is None:
+                    now = _tile(part, k, axes)
+                    if part.column("stream")[k].as_py() == 0:
+                        yield _links(now, now, True, threshold)
+                else:
+                    yield _links(now, _tile(part, k, axes), False, threshold)
 
     return run
 
@@ -134,39 +150,60 @@ def _turned(axes: dict[int, np.ndarray]):
                 raw = _matrix(some.column("v"), int(dim))
                 first = turned_to(axes.get(int(dim)), raw)[:, 0].copy()
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("dim"), some.column("rep"), some.column("weight"), pa.array(first), pa.array([x.tobytes() for x in raw], pa.binary())], names=["dim", "rep", "weight", "first", "raw"]
+                    [some.column("dim"), some.column("node"), some.column("weight"), pa.array(first), pa.array([x.tobytes() for x in raw], pa.binary())], names=["dim", "node", "weight", "first", "raw"]
                 )
 
     return run
 
 
-def _tiled(tile_bytes: int):
-    """Rows in order of (dim, tile) to one row for each tile, or more of at most `tile_bytes`."""
+def _tiled(tile_bytes: int, axes: dict[int, np.ndarray]):
+    """Rows in order of (dim, first), within one `range`, to tiles of about `tile_bytes` at most; k is a tile's number, in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed() -> pa.RecordBatch:
-            values = [[key[1]], [part], [key[0]], [np.array(ids).tobytes()], [np.array(weights).tobytes()], [b"".join(raw)]]
-            kinds = [pa.int32()] * 3 + [pa.binary()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["tile", "part", "dim", "ids", "weights", "raw"])
-
-        key, part, ids, weights, raw = None, 0, [], [], []
+            whole = b"".join(raw)
+            turned = turned_to(axes.get(dim), np.frombuffer(whole, np.float64).reshape(-1, dim))
+            lead, rest = turned[:, : STEPS[0]], turned[:, STEPS[0] :]
+            values = [k, dim, np.array(nodes).tobytes(), np.array(weights).tobytes(), whole, lead.min(axis=0).tolist(), lead.max(axis=0).tolist(), float(np.sqrt((rest**2).sum(axis=1)).max())]
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.float64())] * 2, pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=[f.split()[0] for f in TILES.split(", ")])
+
+        k, dim, nodes, weights, raw = None, None, [], [], []
         for rows in batches:
-            for dim, tile, rep, weight, x in zip(*(rows.column(c).to_pylist() for c in ("dim", "tile", "rep", "weight", "raw")), strict=True):
-                full = len(ids) * dim * 8 >= tile_bytes * 1.25
-                if ids and (key != (dim, tile) or full):
+            for range_, of, node, weight, x in zip(*(rows.column(c).to_pylist() for c in ("range", "dim", "node", "weight", "raw")), strict=True):
+                k = range_ << 32 if k is None else k
+                if nodes and (of != dim or len(nodes) * dim * 8 >= tile_bytes):
                     yield flushed()
-                    part = part + 1 if key == (dim, tile) else 0
-                    ids, weights, raw = [], [], []
-                key = (dim, tile)
-                ids.append(rep)
+                    k, nodes, weights, raw = k + 1, [], [], []
+                dim = of
+                nodes.append(node)
                 weights.append(weight)
                 raw.append(x)
-        if ids:
+        if nodes:
             yield flushed()
 
     return run
 
 
+def tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the tiles (k, dim, lo, hi, rest) that may hold a pair at `threshold`, a before b.
+
+    Tiles stand in order of the first axis, so the partners of one begin where it does or after,
+    and not farther from its end than a pair at `threshold` may be: each tile is dealt to
+    the cells of the axis that its partners may begin in, and meets them there.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+    width = max(reach / 16, 1e-3)
+    spans = tiles.select("k", "dim", "lo", "hi", "rest")
+    one = spans.select("dim", *[F.col(c).alias(f"{c}_a") for c in ("k", "lo", "hi", "rest")])
+    one = one.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo_a")[0] / width), F.floor((F.col("hi_a")[0] + reach) / width))))
+    two = spans.select("dim", *[F.col(c).alias(f"{c}_b") for c in ("k", "lo", "hi", "rest")], F.floor(F.col("lo")[0] / width).alias("cell"))
+    sides = F.arrays_zip(*[F.col(f"{c}_{e}").alias(f"{c}_{e}") for e in "ab" for c in ("lo", "hi")])
+    most = F.aggregate(sides, F.lit(0.0), lambda t, x: t + F.greatest(*[x[f"{p}_a"] * x[f"{q}_b"] for p in ("lo", "hi") for q in ("lo", "hi")]))
+    near = (F.col("k_a") < F.col("k_b")) & (F.col("lo_b")[0] <= F.col("hi_a")[0] + reach)
+    return one.join(two, ["dim", "cell"]).where(near & (most + F.col("rest_a") * F.col("rest_b") >= threshold - SLACK)).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = 0.9, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Components of vectors (vec_id long, embedding array of numbers; other columns are left
     out) that link at cosine `threshold` (over 0) or above.
@@ -176,61 +213,53 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, tile_bytes: int
     component_id). Vectors that are null, empty, all zero or hold null or non-finite
     components link with nothing, and neither do rows without a vec_id (component_id null,
     kept). Vectors of different lengths do not link. Equal vectors, repeated rows included,
-    link with each other. An empty table gives an empty result.
+    link with each other; rows that share a vec_id are vectors of their own, with links and
+    component of their own. An empty table gives an empty result.
     """
     spark = embeddings.sparkSession
+    shipped(spark)
     vector = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, vector).alias("v"))
+    own = own.withColumn("most", F.array_max(F.transform("v", F.abs)))
+    own = own.select("vec_id", F.transform("v", lambda x: x / F.col("most") + F.lit(0.0)).alias("v"))
     own = own.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     distinct = own.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
-    distinct, distinct_path = written(distinct.withColumn("dim", F.size("v")), "vectors")
+    distinct, distinct_path = written(distinct.withColumns({"dim": F.size("v"), "node": F.monotonically_increasing_id()}), "vectors")
     trail = [distinct_path]
 
     axes: dict[int, np.ndarray] = {}
-    dims = {r.dim: r.n for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    for dim in list(dims)[:16]:  # rarer lengths stay on the axes they have
+    dims = distinct.groupBy("dim").agg(F.count("*").alias("n"))
+    for dim in [r.dim for r in dims.orderBy(F.desc("n"), "dim").limit(16).collect()]:  # rarer lengths stay on the axes they have
         rows = distinct.where(F.col("dim") == dim).orderBy("h1", "h2").limit(max(64, FIT_BYTES // (8 * dim))).select("v").collect()
         raw = np.array([r.v for r in rows])
         unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
         axes[dim] = np.linalg.eigh(unit.T @ unit)[1][:, ::-1].copy()
-    turned, path = written(distinct.select("dim", "rep", "weight", "v").mapInArrow(_turned(axes), "dim int, rep long, weight long, first double, raw binary"), "turned")
+    turned, path = written(distinct.select("dim", "node", "weight", "v").mapInArrow(lean(_turned(axes)), "dim int, node long, weight long, first double, raw binary"), "turned")
     trail.append(path)
 
-    # Edges of equal counts on the first axis, for the lengths that fill more than a tile.
-    tile = F.lit(0)
-    for dim, n in dims.items():
-        tiles = -(-n * dim * 8 // tile_bytes)
-        if tiles > 1:
-            edges = turned.where(F.col("dim") == dim).approxQuantile("first", [k / tiles for k in range(1, tiles)], 1 / (20 * tiles))
-            tile = F.when(F.col("dim") == dim, F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("first")))).otherwise(tile)
-    ordered = turned.withColumn("tile", tile).repartition(F.col("dim"), F.col("tile")).sortWithinPartitions("dim", "tile", "first", "rep")
-    tiles, path = written(ordered.select("dim", "tile", "rep", "weight", "raw").mapInArrow(_tiled(tile_bytes), TILES), "tiles")
+    size = dims.agg(F.coalesce(F.sum(F.col("n") * F.col("dim") * 8), F.lit(0))).first()[0]
+    ordered = turned.repartitionByRange(max(1, -(-size // tile_bytes)), "dim", "first", "node").sortWithinPartitions("dim", "first", "node").withColumn("range", F.spark_partition_id().cast("long"))
+    tiles, path = written(ordered.mapInArrow(lean(_tiled(tile_bytes, axes)), TILES), "tiles")
     trail.append(path)
-
-    # Tiles stand in order of the first axis, so the partners of one are a run of those after it.
-    spans = turned.withColumn("tile", tile).groupBy("dim", "tile").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
-    parts = tiles.select("dim", "tile", "part").join(spans, ["dim", "tile"]).orderBy("dim", "tile", "part").collect()
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    pairs = []
-    for k, a in enumerate(parts):
-        last = k
-        while last + 1 < len(parts) and parts[last + 1].dim == a.dim and parts[last + 1].lo <= a.hi + reach:
-            last += 1
-        pairs.append((k, a.dim, a.tile, a.part, last))
-    numbered = spark.createDataFrame(pairs, "k int, dim int, tile int, part int, last int")
-    tiles, path = written(tiles.join(numbered, ["dim", "tile", "part"]), "tiles")
+    pairs, path = written(tile_pairs(tiles, threshold), "pairs")
     trail.append(path)
-    columns = ("ids", "weights", "raw")
-    one = tiles.select("dim", F.explode(F.sequence("k", "last")).alias("other"), "k", *[F.col(c).alias(f"{c}_a") for c in columns])
-    two = tiles.select(F.col("k").alias("other"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    both = one.join(two, "other").select("dim", (F.col("k") == F.col("other")).alias("same"), *[f"{c}_{e}" for c in columns for e in "ab"])
-    found, path = written(both.mapInArrow(_compared(threshold, axes), "a long, b long, degree long"), "links")
+
+    # Each tile once for every STREAM of its partners or so, ahead of them.
+    streams = pairs.groupBy("a").agg(F.ceil(F.count("*") / STREAM).alias("n"))
+    partners = pairs.join(streams, "a").select("a", F.pmod(F.xxhash64("b"), "n").alias("stream"), "b")
+    columns = ("dim", "nodes", "weights", "raw")
+    heads = tiles.join(streams, F.col("k") == F.col("a"), "left").select(F.col("k").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1)) - 1)).alias("stream"), F.lit(None).cast("long").alias("b"), *columns)
+    rest = partners.join(tiles, F.col("b") == F.col("k")).select("a", "stream", "b", *columns)
+    passing = heads.unionByName(rest).repartition("a", "stream").sortWithinPartitions("a", "stream", F.asc_nulls_first("b"))
+    found, path = written(passing.mapInArrow(lean(_compared(threshold, axes)), "a long, b long, degree long"), "links")
     trail.append(path)
-    degrees = found.groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
-    labels = with_components(found.where("a != b").select("a", "b")).withColumnRenamed("node", "rep")
-    classes = distinct.select("h1", "h2", "rep", "weight").join(degrees, "rep", "left").join(labels, "rep", "left")
-    classes = classes.select("h1", "h2", (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+
+    degrees = found.groupBy(F.col("a").alias("node")).agg(F.sum("degree").alias("degree"))
+    labels = with_components(found.where("a != b").select("a", "b"))
+    least = labels.join(distinct.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    classes = distinct.select("h1", "h2", "node", "rep", "weight").join(degrees, "node", "left").join(labels.join(least, "component").select("node", "least"), "node", "left")
+    classes = classes.select("h1", "h2", (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     classes, _ = written(classes, "classes")
     removed(spark, *trail)
     out = own.select("vec_id", "h1", "h2", F.col("v").isNotNull().alias("sound")).join(classes, ["h1", "h2"], "left")
