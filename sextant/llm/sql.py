@@ -88,13 +88,18 @@ SELECT j.doc_id, j.size, p.size AS source_size, p.target,
 FROM j JOIN p ON p.source IS NOT DISTINCT FROM j.source
 """
 
-OP7 = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+OP7 = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p),
+u AS (SELECT *, regexp_matches(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9_+.\-]*:)?//') AS full_ FROM g),
+v AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(CASE WHEN full_ THEN regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9_+.\-]*:)?//([^/?#]*)', 1) ELSE '' END, '^.*@', '')), '^www\.', ''), ':(80|443)?$', '') AS host,
+  CASE WHEN full_ THEN regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9_+.\-]*:)?//[^/?#]*([^#]*)', 1) ELSE split_part(coalesce(url, ''), '#', 1) END AS rest FROM u),
+k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || lower(CASE WHEN rest = '' THEN '/' ELSE rest END) AS url_key, strftime(make_timestamp((946684800 + page_id) * 1000000), '%Y%m%d%H%M%S') AS captured FROM v)
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1]), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
-FROM g
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url_key, captured,
+  row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS nth, row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id) - 1 AS place
+FROM k
 """
 
 OP3 = rf"""

@@ -1,36 +1,40 @@
 """WARC archives of pages, and an index merged from sorted capture runs.
 
-Records are written by Spark's own text writer into the shared folder, one record a line
-with the record's closing blank lines as line separator, so files reach any store that Spark
-reaches. They are read back whole, file by file, and cut by Content-Length. Files are compressed, and kept
-small by the rows that one may hold; offsets and lengths are those of the plain archive.
-
-Each archive file gives one run of captures, sorted where it is read. Runs are cut at sampled
-keys (URL key, time, page), so that a hot URL's captures spread over several ranges; each
-range merges its pieces of runs with a loser tree into one ordered capture history.
+Records are written by Spark's own text writer into the shared folder, with the record's closing
+blank lines as line separator, so files reach any store that Spark reaches. A line is a bundle of
+records of BUNDLE_BYTES or more together, and a file holds FILE_BUNDLES of them, so files are
+bounded by bytes but for records that are larger themselves. Files are compressed; they are
+read back by Content-Length, inflated as records are taken from them. Offsets and
+lengths are those of the plain archive.
+
+Each archive file gives one run of captures, sorted where it is read. A range partition by key
+(URL key, time, page, file, offset) cuts the runs, so that a hot URL's captures spread over
+several ranges; each range merges its pieces of runs with a loser tree, and the counts of the
+ranges before it number its captures in the order of all.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import time
 import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import scratch, written
+from sextant.llm.common import lean, removed, scratch, slices, written
 from sextant.session import shipped
 
-#: Rows of one archive file.
-FILE_ROWS = 2000
+#: Bytes of a bundle of records, and bundles of one archive file.
+BUNDLE_BYTES, FILE_BUNDLES = 64 << 10, 256
 #: Captures that one range of keys holds about.
-RANGE_ROWS = 4000
+RANGE_ROWS = 20_000
 ENDING = "\r\n\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -52,8 +56,6 @@ def record_id(page_id: int | None) -> str:
 
 
 def date(page_id: int | None) -> str:
-    import time
-
     return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(min(max(EPOCH + (page_id or 0), 0), 253_402_300_799)))
 
 
@@ -82,36 +84,68 @@ def record(page_id: int | None, url: str | None, html: str | None, first: int |
     return "\r\n".join(lines) + ENDING + (html or "")
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """Headers (names in lower case), block, offset and length of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = data[at:end].decode().split("\r\n")
+def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Headers (names in lower case), block, offset and length of each record of an archive that comes in pieces."""
+    data, start = bytearray(), 0  # what is read and not yet given, and where it stands in the archive
+
+    def more(n: int) -> bool:
+        while len(data) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            data.extend(piece)
+        return True
+
+    while more(1):
+        while (end := data.find(b"\r\n\r\n")) < 0:
+            if not more(len(data) + 1):
+                raise ValueError(f"the record at byte {start} has no end of its headers")
+        head = data[:end].decode().split("\r\n")
         if head[0] != VERSION:
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {start}")
         fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in head[1:])}
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where it says")
-        yield fields, data[start:stop], at, stop + 4 - at
-        at = stop + 4
+        stop = end + 4 + int(fields["content-length"])
+        if not more(stop + 4) or data[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {start} does not end where it says")
+        yield fields, bytes(data[end + 4 : stop]), start, stop + 4
+        del data[: stop + 4]
+        start += stop + 4
+
+
+def inflated(data: bytes, piece: int = 1 << 18) -> Iterator[bytes]:
+    """A gzip file, of one member or more, in pieces."""
+    rest = memoryview(data)
+    while len(rest):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if not len(rest):
+                raise ValueError("the file ends within a compressed member")
+            out = member.decompress(rest[:piece])
+            rest = rest[piece:]
+            if out:
+                yield out
+        if member.unused_data:
+            rest = memoryview(bytes(member.unused_data) + bytes(rest))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            part = whole.slice(at, 256)
-            rows = zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([record(*row) for row in rows], pa.string())], names=["value"])
+    held, size = [], 0
+    for part in (p for whole in batches for p in slices(whole, "html", 256)):
+        for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
+            held.append(record(*row))
+            size += len(held[-1])
+            if size >= BUNDLE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([ENDING.join(held)], pa.string())], names=["value"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([ENDING.join(held)], pa.string())], names=["value"])
 
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for k in range(part.num_rows):
             path, found = part.column("path")[k].as_py(), []
-            for fields, block, offset, length in records(gzip.decompress(part.column("content")[k].as_py())):
+            for fields, block, offset, length in records(inflated(part.column("content")[k].as_py())):
                 says = fields["warc-payload-digest"].removeprefix("sha1:")
                 kind = fields["warc-type"]
                 if kind == "response" and (digest(block) != says or len(block) != int(fields["x-payload-length"])):
@@ -188,7 +222,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flushed()
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, file_rows: int = FILE_ROWS) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bundles: int = FILE_BUNDLES) -> None:
     """Write a record for each row of `pages` (page_id long, url string, html string) as files below `path`.
 
     Of rows with equal payloads of `least_bytes` or more, those with the largest page_id are
@@ -199,40 +233,33 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, file_rows: int = FI
     own = own.withColumns({"sha": F.sha1("html"), "n": F.octet_length("html")})
     firsts = own.select("page_id", "sha", "n").where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     known = own.join(firsts, ["sha", "n"], "left").select("page_id", "url", "html", "first")
-    known.mapInArrow(_texts, "value string").write.option("lineSep", ENDING).option("maxRecordsPerFile", file_rows).option("compression", "gzip").text(path)
+    known.mapInArrow(lean(_texts), "value string").write.option("lineSep", ENDING).option("maxRecordsPerFile", file_bundles).option("compression", "gzip").text(path)
 
 
 def captures(pages: DataFrame, path: str) -> DataFrame:
     """The captures of the archives below `path`, one row each, in no order."""
     files = pages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(_captures, CAPTURE)
+    return files.select("path", "content").mapInArrow(lean(_captures), CAPTURE)
 
 
 def histories(found: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """`found` in one global order of URL key, time, page, file and offset: range and place in it are its number.
+    """`found` in one global order of URL key, time, page, file and offset: nth (from 0) is a capture's place
+    in it, and place (from 0) its place among those of its URL key.
 
-    Cut points are quantiles of a sample of keys, fifty for each range, and a key is the whole of what
-    captures are ordered by, so captures of one URL may fall in several ranges.
+    Ranges of about `range_rows` captures are cut by all of what captures are ordered by, so
+    captures of one URL key may fall in several ranges; what a range holds is what one task merges.
     """
     spark = found.sparkSession
-    n = found.count()
-    ranges = max(1, -(-n // range_rows))
-    cuts = []
-    if ranges > 1:
-        share = min(1.0, 50 * ranges / n) if n > 10_000 else 1.0
-        sampled = sorted((order((r.url_key, r.captured, r.page_id, None, None, None, None, None, r.file, r.offset)) for r in found.select("url_key", "captured", "page_id", "file", "offset").sample(share, seed=7).collect()))
-        cuts = [sampled[len(sampled) * k // ranges] for k in range(1, ranges)] if sampled else []
-    edges = spark.sparkContext.broadcast(cuts)
-
-    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
-
-        for part in batches:
-            rows = list(zip(*(part.column(c).to_pylist() for c in NAMES), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([bisect.bisect_right(edges.value, order(r)) for r in rows], pa.int32()), *part.columns], names=["range", *NAMES])
-
-    cut = found.mapInArrow(ranged, f"range int, {CAPTURE}").repartition(max(1, len(cuts) + 1), "range").sortWithinPartitions("range", "file", *key_order())
-    return cut.mapInArrow(_merged, f"range int, place long, {CAPTURE}")
+    ranged = found.repartitionByRange(max(1, -(-found.count() // range_rows)), *key_order()).withColumn("range", F.spark_partition_id())
+    merged, path = written(ranged.sortWithinPartitions("file", *key_order()).mapInArrow(lean(_merged), f"range int, place long, {CAPTURE}"), "merged")
+    before = lambda *by: Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = merged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before()), F.lit(0)).alias("ahead"))
+    # The first capture of a URL key in the order of all: one of its range's, or of one before.
+    numbered, _ = written(merged.join(counts, "range").withColumn("nth", F.col("ahead") + F.col("place")).drop("range", "place", "ahead"), "histories")
+    removed(spark, path)
+    firsts = numbered.groupBy(F.col("url_key").alias("first_key")).agg(F.min("nth").alias("first"))
+    joined = numbered.join(firsts, F.col("url_key") == F.col("first_key"))
+    return joined.select("nth", (F.col("nth") - F.col("first")).alias("place"), *NAMES)
 
 
 def key_order() -> list:
@@ -241,14 +268,21 @@ def key_order() -> list:
 
 def archived(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Write `pages` as archives and give what reading them back yields, as ordered capture
-    histories: range, place (with range, the row's number in the global order), url_key,
-    captured, page_id, url, payload_bytes, payload_digest (upper-case base32 SHA-1 of the full
-    payload), record_type, refers_to (the response's page_id, of revisits), file, offset, length.
+    histories: nth (the row's number in the global order), place (its number in the history of
+    its URL key), url_key, captured, page_id, url, payload_bytes, payload_digest (upper-case
+    base32 SHA-1 of the full payload), record_type, refers_to (the response's page_id, of
+    revisits), file, offset, length.
 
     One row per row of `pages`; repeated rows give repeated records. White space and control
-    characters in a URL are percent-encoded. No pages give no files and no rows.
+    characters in a URL are percent-encoded; a null one has the key `)/`. Pages have no time, so
+    `captured` is made up from page_id. No pages give no rows. Columns of `pages` but page_id,
+    url and html are left out, whatever their names.
     """
-    shipped(pages.sparkSession)
-    path = path or scratch(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    shipped(spark)
+    own, path = path is None, path or scratch(spark, "warc")
     write(pages, path, least_bytes)
-    return histories(written(captures(pages, path), "captures")[0])
+    found, run_path = written(captures(pages, path), "captures")
+    out = histories(found)
+    removed(spark, run_path, *([path] if own else []))
+    return out
