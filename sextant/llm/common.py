@@ -86,26 +86,28 @@ class Door:
         self.rows = self.rows.withColumn(other, F.col(self.of(name)).cast("string"))
         return other
 
-    def outer(self) -> list[str]:
-        """What the user's columns are called at the way out."""
-        taken, out = {c.lower() for c in self.made}, []
-        for c in self.names:
-            while c.lower() in taken:
-                c += "_input"
-            taken.add(c.lower())
-            out.append(c)
-        return out
-
     def schema(self, ddl: str) -> StructType:
         """The columns inside and those that `ddl` adds."""
         return StructType([*self.rows.schema.fields[: len(self.own)], *StructType.fromDDL(ddl).fields])
 
     def out(self, df: DataFrame, *made: Column) -> DataFrame:
-        return df.select(*[F.col(i).alias(c) for i, c in zip(self.own, self.outer(), strict=True)], *made)
+        return df.select(*[F.col(i).alias(c) for i, c in zip(self.own, outer(self.names, self.made), strict=True)], *made)
+
+
+def outer(names: list[str], made: tuple[str, ...]) -> list[str]:
+    """What a user's columns are called beside the columns that an operator made."""
+    taken, out = {c.lower() for c in made}, []
+    for c in names:
+        while c.lower() in taken:
+            c += "_input"
+        taken.add(c.lower())
+        out.append(c)
+    return out
+
 
-    def back(self, df: DataFrame) -> DataFrame:
-        """The user's columns alone of what `out` gave, under their own names."""
-        return df.select(*[quoted(o).alias(c) for o, c in zip(self.outer(), self.names, strict=True)])
+def restored(df: DataFrame, names: list[str], made: tuple[str, ...]) -> DataFrame:
+    """The user's columns alone, under their own names, of what an operator that makes `made` gave."""
+    return df.select(*[quoted(o).alias(c) for o, c in zip(outer(names, made), names, strict=True)])
 
 
 def slices(part: pa.RecordBatch, column: str, rows: int = 512, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -181,6 +181,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+MADE = ("score", "held_out")
+
+
 def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **settings) -> DataFrame:
     """`documents` (doc_id long, text string; other columns stay) with held_out and score, the
     likelihood of `labels.quality` 1 by the whole text alone.
@@ -192,7 +195,7 @@ def scored(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **
     No documents give no rows; no labels give 0.5. Columns named score or held_out come back
     with `_input` added.
     """
-    door = Door(documents, ("score", "held_out"))
+    door = Door(documents, MADE)
     ids, text = F.col(door.of("doc_id")), door.string("text", "qual_text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)

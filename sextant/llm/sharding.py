@@ -137,6 +137,9 @@ def _counted(matrix, at_of, seed: int, ranges: int):
     return run
 
 
+MADE = ("shard", "slot")
+
+
 def sharded(rows: DataFrame, shards: int = SHARDS, seed: int = 9, range_rows: int = RANGE_ROWS) -> DataFrame:
     """`rows` with shard (0 to `shards` - 1) and slot (gapless from 0 in its shard): a uniform
     random order of all rows, dealt into shards whose counts are at most one apart.
@@ -148,7 +151,7 @@ def sharded(rows: DataFrame, shards: int = SHARDS, seed: int = 9, range_rows: in
     settings are; an input whose partitions change between two reads fails and must be written
     first. Columns named shard or slot come back with `_input` added.
     """
-    door = Door(rows, ("shard", "slot"))
+    door = Door(rows, MADE)
     spark = door.spark
     numbered = door.rows.withColumn("sh_partition", F.spark_partition_id())
     counts = {r.p: r.n for r in numbered.groupBy(F.col("sh_partition").alias("p")).agg(F.count("*").alias("n")).collect()}
