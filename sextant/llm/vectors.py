@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import lean, removed, with_components, written
@@ -218,11 +218,14 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, tile_bytes: int
     """
     spark = embeddings.sparkSession
     shipped(spark)
-    vector = F.col("embedding").cast("array<double>")
-    sound = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, vector).alias("v"))
-    own = own.withColumn("most", F.array_max(F.transform("v", F.abs)))
-    own = own.select("vec_id", F.transform("v", lambda x: x / F.col("most") + F.lit(0.0)).alias("v"))
+
+    # As lambdas' arguments the vector and its largest component are made once for a row.
+    def scaled(v: Column) -> Column:
+        sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull()
+        return F.when(sound, F.transform(F.array(F.array_max(F.transform(v, F.abs))), lambda most: F.transform(v, lambda x: x / most + F.lit(0.0)))[0])
+
+    vector = F.transform(F.array(F.col("embedding").cast("array<double>")), scaled)[0]
+    own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
     own = own.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     distinct = own.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
     distinct, distinct_path = written(distinct.withColumns({"dim": F.size("v"), "node": F.monotonically_increasing_id()}), "vectors")
