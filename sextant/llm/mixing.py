@@ -31,7 +31,7 @@ SHARDS = 16
 #: Documents that a bucket holds about.
 BUCKET_ROWS = 2000
 #: Rounds of the swap-or-not shuffle, and the prime its bits are hashed by.
-SWAPS = 24
+SWAPS = 12
 PRIME = (1 << 31) - 1
 
 
@@ -175,7 +175,9 @@ def mixed_sources(
     offsets, _ = written(fine.select(F.col("source").alias("os"), F.col("at").alias("ob"), (F.col("ahead") + F.col("part_ahead")).alias("ahead")), "offsets")
 
     inner = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("mix_bucket", bucket).withColumn("mix_at", F.coalesce(F.sum("mix_size").over(inner), F.lit(0)))
+    # A number of partitions that stays, as what follows costs time and not bytes.
+    dealt_out = sized.withColumn("mix_bucket", bucket).repartition(int(door.spark.conf.get("spark.sql.shuffle.partitions")), "source", "mix_bucket")
+    placed = dealt_out.withColumn("mix_at", F.coalesce(F.sum("mix_size").over(inner), F.lit(0)))
     same = lambda other: F.col("source").eqNullSafe(F.col(other))
     placed = placed.join(offsets, same("os") & (F.col("mix_bucket") == F.col("ob")), "left").join(sizes, same("zs"), "left").join(facts, same("ps"), "left")
     at, size = F.col("mix_at") + F.col("ahead"), F.col("mix_size")

@@ -75,14 +75,14 @@ q AS (SELECT source, target / (2 * k + 1) AS q, k, floor(total / 32.0 + 0.5) AS
 n AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source IS NULL, source, k) AS r FROM q) WHERE r <= seats GROUP BY source),
 p AS (SELECT t.source, t.size, t.target, least(coalesce(quota, 0), 3 * ceil(t.size / 32.0))::BIGINT AS quota, ceil(t.size / 32.0)::BIGINT AS n_blocks
       FROM t LEFT JOIN n ON n.source IS NOT DISTINCT FROM t.source),
-m AS (SELECT *, list_transform(range(1, 25), lambda r: md5('4:' || r || ':' || coalesce(source, '') || CASE WHEN source IS NULL THEN ':' ELSE '' END)) AS md FROM p WHERE n_blocks > 0),
+m AS (SELECT *, list_transform(range(1, 13), lambda r: md5('4:' || r || ':' || coalesce(source, '') || CASE WHEN source IS NULL THEN ':' ELSE '' END)) AS md FROM p WHERE n_blocks > 0),
 e AS (SELECT source, n_blocks, quota // n_blocks AS rounds, quota % n_blocks AS extra, list_transform(md, lambda x: ('0x' || x[1:12])::BIGINT % n_blocks) AS k, list_transform(md, lambda x: ('0x' || x[13:19])::BIGINT + 1) AS a,
         list_transform(md, lambda x: ('0x' || x[20:26])::BIGINT) AS c, list_transform(md, lambda x: ('0x' || x[27:32])::BIGINT) AS b FROM m),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d),
 j AS (SELECT o.doc_id, o.size, o.pos, e.rounds, e.extra, e.k, e.a, e.b, e.c, e.n_blocks AS n, CASE WHEN o.size > 0 THEN range(o.pos // 32, (o.pos + o.size - 1) // 32 + 1) ELSE [] END AS js, o.source
       FROM o LEFT JOIN e ON e.source IS NOT DISTINCT FROM o.source)
 SELECT j.doc_id, j.size, p.size AS source_size, p.target,
-  (coalesce(rounds, 0) * j.size + coalesce(list_sum(list_transform(list_filter(js, lambda y: list_reduce(range(1, 25), lambda x, r:
+  (coalesce(rounds, 0) * j.size + coalesce(list_sum(list_transform(list_filter(js, lambda y: list_reduce(range(1, 13), lambda x, r:
       CASE WHEN (greatest(x, (k[r] - x + n) % n) % 2147483647 * a[r] + greatest(x, (k[r] - x + n) % n) // 2147483647 * c[r] + b[r]) % 2147483647 % 2 = 1 THEN (k[r] - x + n) % n ELSE x END, y) < extra),
     lambda y: least((y + 1) * 32, pos + j.size) - greatest(y * 32, pos))), 0))::BIGINT AS taken
 FROM j JOIN p ON p.source IS NOT DISTINCT FROM j.source
