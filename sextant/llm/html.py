@@ -298,8 +298,8 @@ def _texts(payload: list[str], column: str):
     return run
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """host, path (keys of a node and those above it), noise, main, pages (m), outside (share of its pages on
+def style_trees(pages: DataFrame) -> tuple[DataFrame, str]:
+    """The folder of a table written, and of it host, path (keys of a node and those above it), noise, main, pages (m), outside (share of its pages on
     which it is beside the main part) and importance, of the nodes that hold a text."""
     found = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(lean(_facts), FACTS)
     node = ["host", "path", "noise", "main"]
@@ -311,12 +311,14 @@ def style_trees(pages: DataFrame) -> DataFrame:
         F.count(F.when(F.col("kind") == 0, 1)).alias("n"), F.sum(F.when(F.col("kind") == 0, ln_k)).alias("contents"),
     )
     nodes = nodes.withColumn("entropy", F.when(F.col("m") > 1, F.coalesce("contents", F.lit(0.0)) / F.ln("m")).otherwise(0.0))
+    nodes, folder = written(nodes, "nodes")
     branches = nodes.select("host", F.explode("path").alias("key"), "n", "entropy").groupBy("host", "key").agg(F.sum("n").alias("all"), F.sum("entropy").alias("entropies")).where(F.col("all") > 0)
     joined = nodes.withColumn("key", F.element_at("path", -1)).join(branches, ["host", "key"])
     diverse = F.when(F.col("m") == 1, 0.5).when(F.col("l") == 1, 0.0).otherwise((F.ln("m") - F.col("presentations") / F.col("m")) / F.ln("l"))
     same = F.pow(F.lit(DAMPING), F.col("l"))
     importance = F.when(F.col("n") > 0, 1 - F.col("entropy") / F.col("n")).otherwise((1 - same) * diverse + same * (1 - F.col("entropies") / F.col("all")))
-    return joined.select(*node, F.col("m").alias("pages"), (F.coalesce("beside", F.lit(0)) / F.col("m")).alias("outside"), importance.alias("importance"))
+    trees = joined.select(*node, F.col("m").alias("pages"), (F.coalesce("beside", F.lit(0)) / F.col("m")).alias("outside"), importance.alias("importance"))
+    return trees, folder
 
 
 def removed_branches(trees: DataFrame, least: float = LEAST) -> DataFrame:
@@ -344,9 +346,10 @@ def extracted(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """
     door = Door(pages, ("main_text",))
     url, text = F.col(door.of("url")).cast("string"), door.string("html", "html_whole")
-    trees, trees_path = written(style_trees(door.rows.select(url.alias("url"), F.col(text).alias("html"))), "trees")
+    trees, nodes_path = style_trees(door.rows.select(url.alias("url"), F.col(text).alias("html")))
+    trees, trees_path = written(trees, "trees")
     low, _ = written(removed_branches(trees, least), "low")
-    removed(door.spark, trees_path)
+    removed(door.spark, nodes_path, trees_path)
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST.pattern, 1))
     joined = door.rows.withColumn("host", host).join(low, "host", "left").select(*door.rows.columns, "low")
     return door.out(joined.mapInArrow(lean(_texts(door.own, text)), door.schema("html_text string")), F.col("html_text").alias("main_text"))
