@@ -113,19 +113,18 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, in
 
 
 def inflated(data: bytes, piece: int = 1 << 18) -> Iterator[bytes]:
-    """A gzip file, of one member or more, in pieces."""
-    rest = memoryview(data)
-    while len(rest):
+    """A gzip file, of one member or more, in pieces of at most `piece` bytes."""
+    rest = data
+    while rest:
         member = zlib.decompressobj(31)
         while not member.eof:
-            if not len(rest):
-                raise ValueError("the file ends within a compressed member")
-            out = member.decompress(rest[:piece])
-            rest = rest[piece:]
+            out = member.decompress(rest, piece)
+            rest = member.unconsumed_tail
             if out:
                 yield out
-        if member.unused_data:
-            rest = memoryview(bytes(member.unused_data) + bytes(rest))
+            elif not rest and not member.eof:
+                raise ValueError("the file ends within a compressed member")
+        rest = member.unused_data
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
