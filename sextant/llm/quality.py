@@ -155,7 +155,8 @@ def fitted(measured: DataFrame, features: int = FEATURES, ridge: float = RIDGE,
     sums = measured.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).collect()
     mean, scale = np.zeros(STATISTICS), np.ones(STATISTICS)
     for r in sums:
-        mean[r.k], scale[r.k] = r["mean"], r.sd or 1.0
+        # A statistic that is the same everywhere may differ by rounding.
+        mean[r.k], scale[r.k] = r["mean"], r.sd if r.sd > 1e-9 * (1 + abs(r["mean"])) else 1.0
     model = Model(mean, scale, features, seed)
     parts = measured.select("x", "y").mapInArrow(_normal(model), "sums binary")
     # Added up in two steps, so the driver gets a few sums however many partitions there are.
