@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sextant.llm import contamination, html, lines, minhash, mixing, quality, sharding, substrings, vectors, warc
 from sextant.llm.common import with_components
@@ -76,9 +79,45 @@ def test_vectors_link_as_all_pairs_do(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_any_scale_and_rows_of_one_id(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1e-200, 1e-203]), (3, [1e200, 0.0]), (4, [0.0, 1e300]), (5, [1e-300, 1e-5]), (6, [5e-324, 0.0]), (7, [-1e308, 0.0]), (8, [0.0, -0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (1, 4), 5: (1, 4), 7: (0, 7), 8: (0, 8)}
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [1.0, -0.1]), (0, [0.1, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 0, True), (1, 1, 0, False), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]
+
+
 # 2
 
 
+def test_scores_are_those_of_plain_numpy(spark):
+    rng = random.Random(22)
+    docs = [(i, prose(rng, rng.randrange(5, 90)) + rng.choice([" ok", "!!", " |"]) * rng.randrange(9)) for i in range(400)]
+    labels = [(i, int(t.count("!") + rng.random() < 2)) for i, t in docs if i % 3]
+    got = {r.doc_id: r.score for r in quality.scored(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = np.array([quality.statistics(t.encode()) for _, t in docs])
+    own = [(i, q) for i, q in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    known, y = x[[i for i, _ in own]], np.array([q for _, q in own], float)
+    # The features once more: cosines of scaled statistics by the model's own directions.
+    scale = known.std(axis=0)
+    model = quality.Model(known.mean(axis=0), np.where(scale < 1e-9, 1, scale), quality.FEATURES, 2)
+    mapped = lambda rows: np.hstack([np.cos(np.clip((rows - model.mean) / model.scale, -5, 5) @ model.directions + model.phases) * math.sqrt(2 / quality.FEATURES), np.ones((len(rows), 1))])
+    z = mapped(known)
+    penalty = np.diag([quality.RIDGE * len(y)] * quality.FEATURES + [0.0])
+    weights = np.linalg.lstsq(np.vstack([z, np.sqrt(penalty)]), np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+    raw = np.clip(z @ weights, -0.5, 1.5)
+    of = np.minimum((raw + 0.5) / 2 * quality.BINS, quality.BINS - 1).astype(int)
+    bins = [(float((of == b).sum()), y[of == b].sum(), raw[of == b].sum()) for b in sorted(set(of))]
+    # Isotonic regression by its minimax formula.
+    n, hits = np.array([b[0] for b in bins]), np.array([b[1] for b in bins])
+    level = [max(min(hits[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, len(bins))) for a in range(k + 1)) for k in range(len(bins))]
+    pools = [[b for b, v in zip(bins, level, strict=True) if abs(v - u) < 1e-12] for u in sorted({round(v, 12) for v in level})]
+    knots = [(sum(b[2] for b in p) / sum(b[0] for b in p), (sum(b[1] for b in p) + 0.5) / (sum(b[0] for b in p) + 1)) for p in pools]
+    want = np.interp(np.clip(mapped(x) @ weights, -0.5, 1.5), [k for k, _ in knots], [v for _, v in knots])
+    assert [got[i] for i, _ in docs] == pytest.approx(want.tolist(), abs=1e-6) and len(set(got.values())) > 20
+
+
 def test_quality_learns_from_the_rows_it_may(spark):
     rng = random.Random(2)
     docs, labels = [], []
@@ -162,6 +201,32 @@ def test_families_are_those_of_one_template_after_the_other(spark):
         assert sum(r[3] for r in rows if (r[0], r[1]) not in want) < 3 * 6
 
 
+def test_lines_dropped_are_those_of_a_serial_parser(spark):
+    rng = random.Random(3)
+    kinds = ["{} joined the group {} today", "page {} of the {} book", "all {} reserved", "of {}", "the {} {} {} was here and left", "  spaced\tout {}  line "]
+    docs = [(i if rng.random() < 0.95 else None, "\n".join(rng.choice(kinds).format(*(rng.choice(["ann", "bob", "7", "x9", "cid", "dan"]) for _ in range(3))) if rng.random() < 0.7 else prose(rng, 6, 9) for _ in range(rng.randrange(0, 9)))) for i in range(60)]
+    leaves = {}
+    for i, t in docs:
+        for line in t.split("\n"):
+            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+            if tokens:
+                leaves.setdefault((len(tokens), tokens[:3]), {}).setdefault(tokens, set()).add(i)
+    gone = set()
+    for left in leaves.values():
+        while sum(map(len, left.values())) >= 3:
+            head = max(left, key=lambda t: (len(left[t]), " ".join(t)))
+            family = [t for t in left if sum(x == y for x, y in zip(t, head, strict=True)) >= 0.7 * len(t)]
+            if len(set().union(*(left[t] for t in family))) >= 3:
+                gone |= set(family)
+            for t in family:
+                del left[t]
+    got = sorted((str(r.doc_id), r.text, r.line_dropped) for r in lines.without_boilerplate(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    numbers = lambda t: [k for k, line in enumerate(t.split("\n")) if tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line)) in gone]
+    # Rows without an id are one document, whose lines of one number and leaf go together.
+    assert [(i, d) for i, t, d in got if i != "None"] == [(str(i), numbers(t)) for i, t in sorted(docs, key=lambda d: (str(d[0]), d[1])) if i is not None]
+    assert sum(len(d) for _, _, d in got) > 60 and len(gone) > 10
+
+
 def test_short_lines_that_recur_go_and_blank_ones_stay(spark):
     docs = [(i, f"All rights reserved.\n\n  \nOf.\nPage {i}\nown {'abcd'[i]}\n版权所有。") for i in range(4)] + [(9, "All rights kept.\nOf\nPage")]
     got = {r.doc_id: (r.line_dropped, r.line_kept) for r in lines.without_boilerplate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -235,6 +300,18 @@ def test_shards_hold_the_quotas_of_each_source(spark, shards):
     assert {k: len(v) for k, v in got.items()} == {k: n for k, n in want.items() if n}
 
 
+def test_blocks_are_permuted(spark):
+    rows = [(n, k) for n in (1, 2, 3, 6, 97, 1000) for k in range(n)]
+    keys = mixing.swaps(F.lit("a"), F.col("n"), 4)
+    got = {}
+    for r in spark.createDataFrame(rows, "n long, k long").withColumn("keys", keys).select("n", "k", mixing.permuted(F.col("k"), F.col("keys"), F.col("n")).alias("p")).collect():
+        got.setdefault(r.n, {})[r.k] = r.p
+    assert all(sorted(of.values()) == list(range(n)) for n, of in got.items())
+    # The first tenth chosen is spread over the blocks, in no run.
+    chosen = sorted(k for k, p in got[1000].items() if p < 100)
+    assert sum(b - a == 1 for a, b in itertools.pairwise(chosen)) < 25 and 350 < np.mean(chosen) < 650
+
+
 def test_quotas_go_to_the_highest_quotients(spark):
     rng = random.Random(44)
     for _ in range(5):
@@ -252,24 +329,110 @@ def test_quotas_go_to_the_highest_quotients(spark):
 
 
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Top</header><nav><ul><li><a href="/x">x</a></ul></nav><div class="cookie-notice">Cookies</div>{}<aside>Side</aside><div id="comments"><article>Nice</article></div><script>var a="</p>";</script><footer>&copy; end</footer></body></html>'
+HTML = "page_id long, url string, html string"
 
 
-def test_main_text_of_broken_pages():
-    page = PAGE.format("<article class=post><h1>A &amp; B</h1><p>one<b> two\n three<br>four<p>five&nbsp;&lt;p&gt;<form><p>no</form><ul><li>six<li>se<i>ven</i></ul><div class='ad'>buy</div></article>")
-    found = html.blocks(page)
-    assert " ".join(html.chosen(found, set())) == "A & B one two three four five <p> six seven"
-    for odd in ("", "<", "plain & text", "<p", "<!-- open", "<script>x", "<a b='c", "</p></div>"):
-        html.blocks(odd)
-    assert html.chosen(html.blocks("plain &amp; text <b>x</b>"), set()) == ["plain & text x"]
+def main_texts(spark, pages, url="http://one.example/{}", **settings):
+    rows = [(i, url.format(i), p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.main_text for r in html.extracted(spark.createDataFrame(rows, HTML), **settings).collect()}
+    return [got[i] for i in range(len(pages))]
 
 
-def test_branches_that_every_page_of_a_host_has_go(spark):
+def test_main_text_of_broken_pages(spark):
+    page = PAGE.format("<article class=post><h1>A &amp; B</h1><p>one<b> two\n three<br>four<p>five&nbsp;&lt;p&gt;<form><p>no</form><ul><li>six<li>se<i>ven</i></ul><div class='ad'>buy</div></article>")
+    odd = ["", "<", "plain & text", "<p", "<!-- open", "<script>x", "<a b='c", "</p></div>", "<div>" * 3000 + "deep" + "</div>" * 3000, "plain &amp; text <b>x</b>"]
+    got = main_texts(spark, [page, *odd], url="http://h{}.example/")
+    assert got[0] == "A & B one two three four five <p> six seven"
+    assert got[3] == "plain & text" and got[9] == "deep" and got[10] == "plain & text x"
+
+
+def test_names_are_whole_and_the_main_part_stays(spark):
+    pages = {
+        '<div class="content has-sidebar">Body of it</div>': "Body of it",
+        '<article><p>a</p><p class="market-share">b</p><section id="search-algorithms">c</section><math>x+1</math></article><p>beside</p>': "a b c x+1",
+        "<main><p>the long text of the main part</p><article>teaser</article><p>and its end</p></main><div>beside</div>": "the long text of the main part teaser and its end",
+        "<main><article>all of the article that there is</article><p>more of them</p></main>": "all of the article that there is",
+        "<article><header><h1>Title</h1></header>body<footer>by</footer></article>": "Title body",
+        '<div class="page-header">x</div><div class="sidebar_left">y</div><p>text</p><div role="navigation">z</div>': "text",
+        "<nav><article>not here</article></nav><p>here</p>": "here",
+    }
+    assert main_texts(spark, list(pages), url="http://h{}.example/") == list(pages.values())
+
+
+def site(rng, n):
+    """Pages of a host whose banner, unnamed, is the same everywhere and whose links, unnamed, are the same on most."""
+    top = "<div class=top>Welcome to the site</div>"
+    for i in range(n):
+        links = "<div class=x1><span>One</span><p>Two</p></div>" if rng.random() < 0.9 else ""
+        parts = "".join(f"<p>{prose(rng, rng.randrange(3, 20))}</p>" + ("<ul><li>a<li>b</ul>" if rng.random() < 0.3 else "") for _ in range(rng.randrange(1, 6)))
+        yield f"<html><body>{top}<div class=body>{parts}</div>{links}<div class=ad>{prose(rng, 4)}</div></body></html>"
+
+
+def test_the_tree_decides_what_goes(spark):
+    pages = list(site(random.Random(5), 40))
+    with_tree, without = main_texts(spark, pages), main_texts(spark, pages, least=0)
+    assert all("Welcome" not in t and "Two" not in t for t in with_tree) and all("Welcome" in t for t in without)
+    want = [" ".join(WORD.findall(re.sub("<[^>]*>", " ", re.search(r"<div class=body>(.*?)</div>", p)[1]))) for p in pages]
+    # What lists repeat on page after page goes as well.
+    assert [t.replace(" a b", "") for t in want] == [t.replace(" a b", "") for t in with_tree]
+    # On a host of few pages the tree says too little.
+    assert all("Welcome" in t for t in main_texts(spark, pages[:3], url="http://few.example/{}"))
+
+
+def brute_tree(pages):
+    """Importance of the nodes of one host's pages, and the topmost nodes that go, by the book."""
+    seen = {}
+    for p in pages:
+        page = html.Page(p or "")
+        noise = page.below(page.noise)
+        for (key, kind, content), i in page.facts().items():
+            node = seen.setdefault(key, {"path": page.path(i), "noise": noise[i], "main": page.tag[i] in html.MAIN, "shown": {}, "held": {}, "beside": set(), "pages": set()})
+            node["held" if kind == 0 else "shown"].setdefault((kind, content), set()).add(page.own)
+            if kind:
+                node["pages"].add((kind, page.own))
+                node["beside"] |= {page.own} if kind == 2 else set()
+    for node in seen.values():
+        node["m"] = sum(len(k) for k in node["shown"].values())
+        node["entropy"] = sum(math.log(len(k), node["m"]) for k in node["held"].values()) if node["m"] > 1 else 0
+    likely = {}
+    for key, node in seen.items():
+        below = [o for o in seen.values() if key in o["path"]]
+        n = sum(len(o["held"]) for o in below)
+        if not n:
+            continue
+        m, l = node["m"], len(node["shown"])  # noqa: E741
+        shares = [len(k) / m for k in node["shown"].values()]
+        diverse = 0.5 if m == 1 else -sum(p * math.log(p) for p in shares) / math.log(l) if l > 1 else 0
+        node["importance"] = 1 - node["entropy"] / len(node["held"]) if node["held"] else (1 - 0.9**l) * diverse + 0.9**l * (1 - sum(o["entropy"] for o in below) / n)
+        told = min(0.95, max(0.05, (node["importance"] * m + 4) / (m + 8)))
+        prior = 0.02 if node["noise"] else 0.9 if node["main"] else 0.5 - 0.48 * len(node["beside"]) / m
+        odds = told / (1 - told) * prior / (1 - prior)
+        likely[key] = odds / (1 + odds)
+    low = {k for k in likely if max(v for o, v in likely.items() if k in seen[o]["path"]) < html.LEAST}
+    return seen, {k for k in low if not low & set(seen[k]["path"][:-1])}
+
+
+def test_trees_are_those_of_brute_force(spark):
+    rng = random.Random(55)
+    pages = list(site(rng, 25)) + [f"<body><nav>menu</nav><article>{prose(rng, 9)}</article><p>beside {i % 3}</p></body>" for i in range(9)] + ["", None, "text alone"]
+    pages += [pages[0], pages[30]]
+    df = spark.createDataFrame([(i, "http://a.example/x", p) for i, p in enumerate(pages)], HTML)
+    trees, _ = html.style_trees(df)
+    seen, low = brute_tree(pages)
+    got = {r.path[-1]: r for r in trees.collect()}
+    assert got.keys() == {k for k, n in seen.items() if "importance" in n}
+    for k, r in got.items():
+        assert r.importance == pytest.approx(seen[k]["importance"], abs=1e-9) and (r.pages, r.path, r.noise) == (seen[k]["m"], seen[k]["path"], seen[k]["noise"])
+    assert {k for r in html.removed_branches(trees).collect() for k in r.low} == low and len(low) >= 3
+
+
+def test_pages_without_text_or_host(spark):
     rows = [(i, f"http://h.example/{i}", f"<html><body><div class=top>Welcome to the site</div><div class=body><p>{prose(random.Random(i), 20)}</p></div></body></html>") for i in range(12)]
-    rows += [(100, None, None), (101, "http://other.example/", rows[0][2]), (102, "nonsense", ""), (0, rows[0][1], rows[0][2])]
-    got = {r.page_id: r.main_text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == prose(random.Random(3), 20) and got[0] == prose(random.Random(0), 20)
-    assert got[100] == "" and got[102] == "" and got[101] == "Welcome to the site " + prose(random.Random(0), 20)
-    assert html.digested(html.extracted(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+    rows += [(100, None, None), (101, "http://other.example/", rows[0][2]), (102, "nonsense", ""), (0, rows[0][1], rows[0][2]), (None, rows[1][1], rows[1][2]), (103, "http://long.example/", "<p>" + "long text " * 60_000)]
+    got = {r.page_id: r.main_text for r in html.extracted(spark.createDataFrame(rows, HTML)).collect()}
+    assert got[3] == prose(random.Random(3), 20) and got[0] == prose(random.Random(0), 20) and got[None] == prose(random.Random(1), 20)
+    assert got[100] == "" and got[102] == "" and got[101] == "Welcome to the site " + prose(random.Random(0), 20) and len(got[103]) == 599_999
+    assert html.digested(html.extracted(spark.createDataFrame([], HTML))).count() == 0
 
 
 # 6
@@ -357,14 +520,31 @@ def test_archives_come_back(spark):
         assert r.payload_bytes == len(payload) and r.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
         first = largest[payload.decode()]
         assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == first else ("revisit", first))
-    keyed = sorted(rows, key=lambda r: (r.range, r.place))
-    order = [warc.order((r.url_key, r.captured, r.page_id, None, None, None, None, None, r.file, r.offset)) for r in keyed]
-    assert order == sorted(order)
+    in_order = lambda found: sorted(found, key=lambda r: warc.order((r.url_key, r.captured, r.page_id, None, None, None, None, None, r.file, r.offset)))
+    assert [r.nth for r in in_order(rows)] == list(range(len(rows)))
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/small-files"
+    warc.write(df, path, file_bundles=1)
+    many = warc.histories(warc.captures(df, path), range_rows=5).collect()
+    at = {}
+    for n, r in enumerate(in_order(many)):
+        assert (r.nth, r.place) == (n, at.get(r.url_key, 0))
+        at[r.url_key] = r.place + 1
     assert warc.archived(df.limit(0)).count() == 0
     small = warc.archived(df, least_bytes=10_000).collect()
     assert {r.record_type for r in small} == {"response"}
 
 
+def test_archives_are_read_in_pieces():
+    data = "".join(warc.record(i, f"http://x/{i}", "é" * (i * 700), None) + warc.ENDING for i in range(40)).encode()
+    packed = gzip.compress(data[:5000]) + gzip.compress(data[5000:])
+    assert b"".join(warc.inflated(packed, 1000)) == data
+    got = list(warc.records(warc.inflated(packed, 1000)))
+    assert [len(block) for _, block, _, _ in got] == [1400 * i for i in range(40)] and all(data[at : at + 4] == b"WARC" for _, _, at, _ in got)
+    for broken in (packed[:-30], gzip.compress(data[:-7])):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflated(broken, 1000)))
+
+
 def test_loser_tree_merges_runs_of_any_number():
     rng = random.Random(7)
     for k in range(9):
@@ -441,14 +621,46 @@ def test_shards_are_even_and_gapless(spark):
     assert len({r.shard for r in few}) == 2 and {r.slot for r in few} == {0}
 
 
-def test_matrix_adds_up():
+def test_shards_are_those_of_the_matrix_dealt_serially(spark):
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/serial-input"
+    spark.range(0, 700, 1, 6).selectExpr("id AS doc_id").write.parquet(path)
+    read = spark.read.parquet(path)
+    parts = {}
+    for r in read.selectExpr("spark_partition_id() AS p", "doc_id").collect():
+        parts.setdefault(r.p, []).append(r.doc_id)
+    order = sorted(parts)
+    matrix = sharding.Communication([len(parts[p]) for p in order], 16, 9)
+    held = {}
+    for k, p in enumerate(order):
+        labels, keys = sharding.dealt(p, matrix.of(k), 9)
+        for doc, label, key in zip(parts[p], labels.tolist(), keys.tolist(), strict=True):
+            held.setdefault(label, []).append((key, doc))
+    want = {(doc, s, n) for s, rows in held.items() for n, (_, doc) in enumerate(sorted(rows))}
+    assert {(r.doc_id, r.shard, r.slot) for r in sharding.sharded(read, range_rows=7).collect()} == want
+
+
+@pytest.mark.parametrize("groups", [1, 3, 1024])
+def test_matrix_adds_up(groups):
     for rows in ([], [0], [5], [100, 0, 37, 1], [3] * 50):
-        m = sharding.communication(rows, 16, 9)
+        c = sharding.Communication(rows, 16, 9, groups)
+        m = np.array([c.of(p) for p in range(len(rows))]).reshape(-1, 16)
         assert m.sum(axis=1).tolist() == rows and (not len(rows) or m.sum(axis=0).max() - m.sum(axis=0).min() <= 1)
-    drawn = np.array([sharding.communication([50, 50], 2, s)[0, 0] for s in range(300)])
+    drawn = np.array([sharding.Communication([50, 50], 2, s, groups).of(0)[0] for s in range(300)])
     assert 24 < drawn.mean() < 26 and 1.9 < drawn.std() < 3.2  # sd of the law: 2.51
 
 
+def test_draws_follow_the_law():
+    draw = np.random.default_rng(1)
+    for good, bad, n in ((5, 7, 6), (3, 1, 2), (40, 400, 90)):
+        total = math.comb(good + bad, n)
+        got = np.bincount([sharding.hypergeometric(draw, good, bad, n) for _ in range(20_000)], minlength=good + 1) / 20_000
+        want = [math.comb(good, k) * math.comb(bad, n - k) / total if 0 <= n - k <= bad else 0 for k in range(good + 1)]
+        assert got == pytest.approx(want, abs=0.015)
+    big = [sharding.hypergeometric(draw, 10**12, 15 * 10**12, 10**7) for _ in range(400)]
+    assert np.mean(big) == pytest.approx(625_000, abs=250) and np.std(big) == pytest.approx(765.5, rel=0.15)
+    assert sharding.hypergeometric(draw, 0, 5, 3) == 0 and sharding.hypergeometric(draw, 5, 0, 3) == 3 and sharding.hypergeometric(draw, 2, 2, 4) == 2
+
+
 # 10
 
 
