@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,6 +51,37 @@ def words(text: Column | str) -> Column:
     return F.flatten(each)
 
 
+def identifiers(text: Column | str) -> Column:
+    """The identifiers of a text, in order; null gives none. Each has words of its own, so equal ones may be counted first."""
+    return F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(IDENTIFIER), F.lit(0))
+
+
+def cut_lower(text: Column | str) -> Column:
+    """A text in lower case whose identifiers have an underscore where `parts` cuts them."""
+    cut = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"([\p{Ll}\p{N}])(\p{Lu})", "$1_$2")
+    return F.lower(F.regexp_replace(cut, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1_$2"))
+
+
+def word_count(cut: Column) -> Column:
+    """How many `words` a text has, of what `cut_lower` made of it: its parts, and one more for each identifier of several."""
+    return F.regexp_count(cut, F.lit(r"[\p{L}\p{N}]+")) + F.regexp_count(cut, F.lit(r"[\p{L}\p{N}]+_+[\p{L}\p{N}][\p{L}\p{N}_]*+"))
+
+
+def word_times(cut: Column, word: str) -> Column:
+    """How often `words` of a text hold a stemmed word, of what `cut_lower` made of it, by plain searches:
+    the parts that have its stem, and the identifiers of several parts that do when written together."""
+    forms = [w for w in {word, f"{word}s", f"{word[:-1]}ies"} if w and stemmed(w) == word]
+    if not forms:
+        return F.lit(0)
+    inner, outer = r"[\p{L}\p{N}]", r"[\p{L}\p{N}_]"
+    plain = "|".join(re.escape(w) for w in sorted(forms))
+    spread = "|".join("_*+".join(re.escape(c) for c in w) for w in sorted(forms))
+    parts_ = F.regexp_count(cut, F.lit(f"(?<!{inner})(?:{plain})(?!{inner})"))
+    whole = F.regexp_count(cut, F.lit(f"(?<!{outer})_*+(?:{spread})_*+(?!{outer})"))
+    alone = F.regexp_count(cut, F.lit(f"(?<!{outer})_*+(?:{plain})_*+(?!{outer})"))
+    return parts_ + whole - alone
+
+
 def is_stop(word: Column | str) -> Column:
     """Whether a stemmed word is a stop word's stem."""
     return col(word).isin(*sorted({stemmed(w) for w in STOP_WORDS}))
@@ -189,15 +221,23 @@ def blob_id(text: Column | str) -> Column:
 
 
 def language_of(path: Column | str, head: Column | None = None) -> Column:
-    """Language of a file by its extension, else by its first line's interpreter or editor mode."""
-    ext = F.lower(F.regexp_extract(col(path), r"\.([^./]+)$", 1))
+    """Language of a file by its extension as it is written; of one without any, by the program its
+    first line names, else by what a shell script says of itself at its top."""
+    name = F.element_at(F.split(col(path), "/"), -1)
+    ext = F.regexp_extract(name, r"\.([^.]*)$", 1)
     by_name = reduce(
         lambda w, kv: w.when(ext.isin(*kv[1]), F.lit(kv[0])),
-        [("nix", ("nix",)), ("bash", ("sh", "bash")), ("python", ("py", "pyi")), ("c", ("c", "h")), ("markdown", ("md", "markdown"))],
+        [("nix", ("nix",)), ("bash", ("sh", "bash")), ("python", ("py",)), ("c", ("c", "h")), ("markdown", ("md", "markdown"))],
         F.when(ext == "rs", F.lit("rust")),
     )
     if head is None:
         return by_name
-    shell = head.rlike(r"^#!\s*\S*/(env\s+(-S\s+)?)?(\S*/)?(ba|da|k)?sh(\s|$)") | head.rlike(r"^#!.*\b(bash|sh)\b") | head.rlike(r"(?m)^#\s*shellcheck\s+shell=(ba|da|k)?sh\b") | head.rlike(r"(?i)-\*-.*\b(sh|shell-script|bash)\b.*-\*-")
-    python = head.rlike(r"^#!.*\bpython[0-9.]*\b") | head.rlike(r"(?i)-\*-.*\bpython\b.*-\*-")
-    return F.coalesce(by_name, F.when(ext == "", F.when(shell, F.lit("bash")).when(python, F.lit("python"))))
+    # `env` and its options and settings, and the folders of a program, are passed over.
+    program = F.regexp_extract(head, r"\A#!\s*(?:\S*/)?(?:env(?:\s+(?:(?:-u|--unset|-C|--chdir)\s+\S+|-\S+|[^\s=]*=\S*))*\s+)?(\S+)", 1)
+    program = F.element_at(F.split(program, "/"), -1)
+    run = F.when(program.isin("bash", "sh"), F.lit("bash")).when(program.rlike(r"\A(python|python3(\.[0-9]+)?)\z"), F.lit("python"))
+    mode = head.rlike(r"(?i)\A\s*[^\n]*?-\*-\s*(?:(?:[^\n]*;)?\s*mode:\s*)?(sh|shell-script|bash)\s*(;[^\n]*)?-\*-")
+    # A directive stands above the first command, among comments and blank lines.
+    directive = head.rlike(r"\A(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*#\s*shellcheck\s+(?:[^\n]*\s)?shell=(bash|sh)\b")
+    said = F.when(~head.startswith("#!") & (mode | directive), F.lit("bash"))
+    return F.when(name.contains("."), by_name).otherwise(F.coalesce(run, said))

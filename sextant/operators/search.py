@@ -1,7 +1,7 @@
 """Ranked retrieval: BM25 with named fields, and the gate that says whether anything answers.
 
-The words of a query are few, so a document is never exploded: its words are an array of one
-expression, their number and each query word's count are two more. What the scores need of
+The words of a query are few, so a document's words are never listed: their number and each
+query word's count are searches of its text. What the scores need of
 the corpus (documents, mean length, documents that hold a word) is one aggregate row.
 """
 
@@ -47,16 +47,13 @@ class Corpus:
 
 
 def counted(documents: DataFrame, fields: dict[str, float], asked: list[str]) -> DataFrame:
-    """`documents` with len (words of all fields, unweighted) and counts (weighted, of each word asked)."""
-    found = {c: F.coalesce(text.words(c), F.array().cast("array<string>")) for c in fields}
-    listed = documents.withColumns({f"sw_{i}": w for i, w in enumerate(found.values())})
-    length = sum((F.size(f"sw_{i}") for i in range(len(found))), F.lit(0))
+    """`documents` with len (words of all fields, unweighted) and counts (weighted, of each word asked).
 
-    def times(i: int, q: str) -> Column:
-        return F.size(F.filter(f"sw_{i}", lambda w: w == q))
-
-    counts = [sum((times(i, q) * F.lit(float(weight)) for i, weight in enumerate(fields.values())), F.lit(0.0)) for q in asked]
-    return listed.withColumns({"len": length.cast("long"), "counts": F.array(*counts)}).drop(*[f"sw_{i}" for i in range(len(found))])
+    A text is cut once and searched for what is asked; its words are never listed."""
+    cuts = documents.withColumns({f"sw_{i}": text.cut_lower(c) for i, c in enumerate(fields)})
+    length = sum((text.word_count(F.col(f"sw_{i}")) for i in range(len(fields))), F.lit(0))
+    counts = [sum((text.word_times(F.col(f"sw_{i}"), q) * F.lit(float(weight)) for i, weight in enumerate(fields.values())), F.lit(0.0)) for q in asked]
+    return cuts.withColumns({"len": length.cast("long"), "counts": F.array(*counts)}).drop(*[f"sw_{i}" for i in range(len(fields))])
 
 
 def corpus(counts: DataFrame, asked: list[str]) -> Corpus:

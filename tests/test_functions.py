@@ -12,9 +12,8 @@ def values(spark, expression, *rows):
 
 
 WORDS = {
-    "parseMap": ["parse", "map", "parsemap"], "parse maps": ["parse", "map"], "HTTPResponse": ["http", "response", "httpresponse"], "Utf8Error": ["utf8", "error", "utf8error"],
-    "__init__": ["init"], "MAX_ENTRIES": ["max", "entry", "maxentry"], "src/store.rs:Storage::load": ["src", "store", "rs", "storage", "load"], "Ação": ["ação"], " :: _ ": [],
-    "queries goes class status keys its": ["query", "goes", "class", "status", "key", "it"],
+    "openDoor": ["open", "door", "opendoor"], "two plain words": ["two", "plain", "word"], "XMLHttpParser9": ["xml", "http", "parser9", "xmlhttpparser9"], "__tail_": ["tail"], "LEFT_SIDES": ["left", "side", "leftside"],
+    "lib/disk.py:Disk.mount": ["lib", "disk", "py", "disk", "mount"], "ÜberGröße": ["über", "größe", "übergröße"], "- _ -": [], "berries shoes dues virus glass gas as": ["berry", "shoes", "due", "virus", "glass", "ga", "as"],
 }
 
 
@@ -23,6 +22,12 @@ def test_words(spark):
     assert values(spark, text.words("x"), None) == [[]]
     for query, want in WORDS.items():
         assert search.query_words(query) == list(dict.fromkeys(want))
+    # Counting without listing the words gives the same numbers.
+    texts = [*WORDS, " ".join(WORDS), "Door_s open__door OPENdoors opendoor _opendoor_ open-door doors9 berrie s berry", None, ""]
+    asked = ["door", "opendoor", "berry", "left", "side", "leftside", "shoes", "due", "glass", "x", "s", "word"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").withColumns({"w": text.words("x"), "cut": text.cut_lower("x")})
+    for r in df.select("w", text.word_count(F.col("cut")).alias("n"), *[text.word_times(F.col("cut"), q).alias(f"q_{q}") for q in asked]).collect():
+        assert r.n == len(r.w) and [r[f"q_{q}"] for q in asked] == [r.w.count(q) for q in asked]
 
 
 def test_stop_words(spark):
@@ -43,9 +48,14 @@ def test_paths(spark):
     assert [r[0] for r in df.select(text.folded("p", "b")).collect()] == ["a/b.nix", "x", None, "top"]
     assert values(spark, text.relative_link("x"), "a.md?plain=1#L3", "https://x", "//x", "#", "#top", "mailto:x") == ["a.md#L3", None, None, None, "#top", None]
     assert values(spark, text.decoded("x"), "a%20b+c") == ["a b+c"]
-    assert values(spark, text.language_of("x"), "a.rs", "b.PY", "c.h", "d.txt") == ["rust", "python", "c", None]
-    head = F.lit("#!/usr/bin/env bash\n")
-    assert values(spark, text.language_of("x", head), "hook", "a.txt") == ["bash", None]
+    assert values(spark, text.language_of("x"), "a.rs", "b.PY", "c.h", "d.txt", "e.pyi", "f.C", "x.d/sh") == ["rust", None, "c", None, None, None, None]
+    heads = {
+        "#!/usr/bin/env bash\n": "bash", "#!/bin/sh -e": "bash", "#!/usr/bin/env -S FOO=1 python3.12 -x\n": "python", "#!/usr/bin/env -u X python": "python", "#!/opt/bin/python2": None, "#!/bin/dash": None, "#!/usr/bin/zsh\n": None,
+        "# -*- shell-script -*-\n": "bash", "\n# -*- mode: Sh; x: 1 -*-": "bash", "# -*- python -*-": None, "# notes\n\n# shellcheck shell=bash\nx=1": "bash", "x=1\n# shellcheck shell=bash": None, "# shellcheck shell=ksh": None, "": None,
+    }
+    got = {r.h: r.l for r in spark.createDataFrame([(h,) for h in heads], "h string").select("h", text.language_of(F.lit("bin/hook"), F.col("h")).alias("l")).collect()}
+    assert got == heads
+    assert values(spark, text.language_of("x", F.lit("#!/bin/bash")), "hook", "a.txt", "b.py") == ["bash", None, "python"]
     assert values(spark, text.test_file("x"), "tests/a.rs", "a/test_x.py", "x_test.go", "conftest.py", "src/contest.rs", "attest.py") == [True, True, True, True, False, False]
     assert values(spark, text.suffix_matches("x", ["Storage", "load"]), "a::Storage::load", "Storage::load#2", "MyStorage::load", "load") == [True, True, False, False]
 
