@@ -12,13 +12,13 @@ import re
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant import schemas
 from sextant.extract import VERSION, extract
 from sextant.functions import text
-from sextant.operators import graph, history, intervals, render, search, store
+from sextant.operators import graph, history, intervals, ranking, render, search, store
 from sextant.resolve import edges as resolve
 from sextant.resolve import live
 from sextant.session import settled, shipped
@@ -304,7 +304,8 @@ class Engine:
         """Callers of callers, level by level; ambiguous uses are counted, not followed."""
         found, out = self.targets(name), Answer(f"impact {name} --depth {depth}", self.root, budget=budget)
         key = lambda p, o: F.concat_ws("\t", p, o)
-        rows = self.owned(self.edges().where("status = 'resolved' and tab != 'import'"))
+        every = self.edges().where("tab != 'import'")
+        rows = self.owned(every.where("status = 'resolved'"))
         sure = rows.select(key("path", "o_ord").alias("dst"), key(F.col("targets")[0]["path"], F.col("targets")[0]["ord"]).alias("src"))
         tops = self.symbols().where("kind = 'file'").select("path", F.col("ord").alias("f_ord"))
         members = self.symbols().where("kind != 'file'").join(tops, "path").select(key("path", "ord").alias("src"), key("path", "f_ord").alias("file"))
@@ -317,13 +318,16 @@ class Engine:
             further = graph.levels(steps.unionByName(by_file).distinct(), reached.where("level = 1").select("id"), min(depth, graph.DEEPEST) - 1)
             reached = reached.unionByName(further.select("id", (F.col("level") + 1).alias("level"))).groupBy("id").agg(F.min("level").alias("level"))
         shown = self.symbols().withColumn("id", key("path", "ord")).join(reached.where("level > 0"), "id").orderBy("level", "path", "start").collect()
+        # Uses that may reach what is reached, or what is asked for, are counted where they would be followed.
+        met = reached.where(F.col("level") < min(max(depth, 1), graph.DEEPEST)).select("id")
+        possible = every.where("status = 'ambiguous'").select("path", "tab", "ord", F.explode("targets").alias("t")).withColumn("id", key("t.path", "t.ord")).join(met, "id", "left_semi").select("path", "tab", "ord").distinct().count()
         for r in found:
             out.add(self.place(r), 600_000, "definitions")
         for k, r in enumerate(shown):
             out.add(f"  {r.level}: {self.place(r)}", (5 - r.level) * 100_000 + 50_000 - min(k, 49_999), f"callers at {r.level}")
         files = len({r.path for r in shown})
         deepest = max((r.level for r in shown), default=0)
-        out.add(f"{len(shown)} caller{'s' * (len(shown) != 1)} in {files} file{'s' * (files != 1)}, to depth {min(max(depth, 1), graph.DEEPEST)}" + (f"; nothing reaches depth {deepest + 1}" if deepest < depth else ""), 600_000, "summary")
+        out.add(f"{len(shown)} caller{'s' * (len(shown) != 1)} in {files} file{'s' * (files != 1)}, to depth {min(max(depth, 1), graph.DEEPEST)}" + (f"; nothing reaches depth {deepest + 1}" if deepest < depth else "") + (f"; {possible} ambiguous use{'s' * (possible != 1)} not followed" if possible else ""), 600_000, "summary")
         return out
 
     def search(self, query: str, limit: int = 20, budget: int = 2000) -> Answer:
@@ -363,8 +367,8 @@ class Engine:
             weights = self.spark.createDataFrame(parts, "id string, weight double")
         share = graph.pagerank(symbols.select("id"), self.graph(), weights)
         shown = share.where("share > 0").join(symbols.where(~F.col("kind").isin("file", "variant", *HIDDEN)), "id").where(~F.col("id").isin(*own) if own else F.lit(True))
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("share"), "path", "start", "ord"))
-        ranked = shown.withColumn("place", place).withColumn("best", F.min("place").over(Window.partitionBy("path"))).orderBy("best", "place").collect()
+        ranked = ranking.placed(shown, [F.desc("share"), "path", "start", "ord"])
+        ranked = ranked.join(ranked.groupBy("path").agg(F.min("place").alias("best")), "path").orderBy("best", "place").collect()
         files: dict[str, list] = {}
         for r in ranked:
             files.setdefault(r.path, []).append(r)

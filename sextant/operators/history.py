@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.operators.intervals import overlapping
+from sextant.operators.ranking import placed
 from sextant.session import settled
 
 
@@ -45,7 +46,7 @@ def touching(commits: DataFrame, touched: DataFrame, changes: DataFrame, wanted:
     at = wanted.select(F.col("path").alias("start"), "qualified").join(ranges, "start")
     # The renaming commit itself changed the file under its newer path.
     hits = at.join(placed, ["path", "qualified"]).where((F.col("place") > F.col("from")) & (F.col("until").isNull() | (F.col("place") <= F.col("until"))))
-    return hits.select("start", "qualified", "rev", "place", "added", "removed").join(commits.drop("place"), "rev").orderBy("place")
+    return hits.select("start", "qualified", "rev", "place", "added", "removed").join(commits.drop("place"), "rev").orderBy("place", "start", "qualified")
 
 
 def of_task(trailers: DataFrame, key: str, task: str) -> DataFrame:
@@ -57,8 +58,7 @@ def of_task(trailers: DataFrame, key: str, task: str) -> DataFrame:
 def rolled_up(touched: DataFrame, key: list[str], place: str) -> DataFrame:
     """Added, removed and commits of each definition, first seen at `first`, most changed first as `nth`."""
     sums = touched.groupBy(*key).agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("commits"), F.min(place).alias("first"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("added") + F.col("removed")), "first", *key)
-    return sums.withColumn("nth", F.row_number().over(order))
+    return placed(sums, [F.desc(F.col("added") + F.col("removed")), "first", *key], "nth")
 
 
 def tasks_of(commits: DataFrame, trailers: DataFrame, tasks: DataFrame, key: str = "task") -> DataFrame:
