@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-VERSION = "1"
+VERSION = "3"
 
 
 def extract(language: str, data: bytes) -> dict:

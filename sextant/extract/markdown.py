@@ -49,7 +49,7 @@ def extract(data: bytes) -> dict:
         start = ends[0] + 1 if ends else 0
     facts.symbol("", "", "file", 1, last)
     headings: list[tuple[int, int, str]] = []
-    used: set[str] = set()
+    used: dict[str, int] = {}  # anchors, and how often each has been numbered
     anchors: list[tuple[str, int]] = []
     prose: list[tuple[int, str]] = []
     fence = None
@@ -73,12 +73,14 @@ def extract(data: bytes) -> dict:
     places = []
     for i, (at, level, name) in enumerate(headings):
         until = next((h[0] - 1 for h in headings[i + 1 :] if h[1] <= level), last)
-        base, n = slug(name), 0
-        anchor = base
+        # A section ends with text.
+        while until > at and not lines[until - 1].strip():
+            until -= 1
+        anchor = base = slug(name)
         while anchor in used:
-            n += 1
-            anchor = f"{base}-{n}"
-        used.add(anchor)
+            used[base] += 1
+            anchor = f"{base}-{used[base]}"
+        used[anchor] = 0
         places.append((at, until, facts.symbol(name, anchor, "section", at, until, value=anchor)))
     for name, at in anchors:
         facts.symbol(name, name, "anchor", at, at)

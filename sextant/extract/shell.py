@@ -11,6 +11,26 @@ WRAPPERS = frozenset("sudo exec env nohup time command builtin xargs nice timeou
 HASH = re.compile(r"^\s*#(?!!)\s?(.*)$")
 
 
+def shell_word(text: str) -> str:
+    """The first word of a command's arguments, quotes around and within it taken off; `$(..)` and its quotes stay whole."""
+    out, depth, quote = [], 0, ""
+    text = text.lstrip()
+    for k, c in enumerate(text):
+        if c == ")" and depth:
+            depth -= 1
+        elif depth:
+            pass
+        elif c in "\"'" and quote in ("", c):
+            quote = "" if quote else c
+            continue
+        elif c in " \t" and not quote:
+            break
+        if c == "(" and (depth or text[k - 1 : k] == "$"):
+            depth += 1
+        out.append(c)
+    return "".join(out)
+
+
 def bash(data: bytes) -> dict:
     facts, text = Facts(), data.decode("utf-8", "replace")
     lines, at = text.split("\n"), line_of(text)
@@ -59,7 +79,7 @@ def bash(data: bytes) -> dict:
             rest = [a for a in args if not a.startswith("-") and "=" not in a]
             name, args = (rest[0].strip('"'), args[args.index(rest[0]) + 1 :]) if rest else ("", [])
         if name in ("source", ".") and args:
-            facts.import_(args[0].strip('"'), line, importer=owner(m.start()), via="source")
+            facts.import_(shell_word(m[4]) if m[3].strip('"') == name else args[0].strip('"'), line, importer=owner(m.start()), via="source")
         elif name in ("bash", "sh") and args and not args[0].startswith("-"):
             facts.import_(args[0].strip('"'), line, importer=owner(m.start()), via="run")
         elif re.search(r"[$*]", name) and name not in BASH_WORDS:
@@ -122,6 +142,9 @@ def nix(data: bytes) -> dict:
         if not any(i["line"] == at(m.start()) and i["path"] == m[1] for i in facts.imports):
             facts.import_(m[1], at(m.start()), importer=owner(m.start()), via="path")
     heads = {m.start(1) for m in binding.finditer(code)}
+    # Names of a function's arguments; what stands after a question mark is a use.
+    for m in re.finditer(r"\{[^{}=;]*\}(?=\s*(?:@\s*\w+)?\s*:(?!/))", strings):
+        heads |= {m.start() + a.start(1) for a in re.finditer(r"[{,]\s*([A-Za-z_][\w'-]*)", m[0])}
     local = {s["qualified"] for s in facts.symbols}
     for m in re.finditer(r"(?<![\w.'\"$/-])([A-Za-z_][\w'-]*(?:\.[A-Za-z_][\w'-]*)*)", strings):
         if m.start() in heads or m[1] in ("let", "in", "with", "rec", "inherit", "if", "then", "else", "assert", "or", "true", "false", "null", "import"):

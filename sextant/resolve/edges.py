@@ -7,12 +7,15 @@ tier with a hit. Languages are resolved among their own files, Markdown sees all
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import text
 from sextant.operators import graph, tiers
 from sextant.operators.intervals import suffixes
+from sextant.resolve import libraries as library_names
+from sextant.session import settled
 
 SITE = ["path", "tab", "ord"]
 Tiers = list[tuple[str, DataFrame]]
@@ -30,7 +33,8 @@ def sites(calls: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     one = calls.select("language", "path", F.lit("call").alias("tab"), "ord", "name", F.col("written"), "kind", "line", F.col("caller").alias("from"), "receiver", "local", "typed", null.alias("via"), F.concat(F.lit("call "), "kind").alias("use"))
     two = refs.select("language", "path", F.lit("ref").alias("tab"), "ord", "name", "written", "kind", "line", F.col("user").alias("from"), null.alias("receiver"), "local", "typed", null.alias("via"), F.when(F.col("kind") == "mention", "mention").when(F.col("kind") == "set", "setting").otherwise(F.concat(F.lit("reference "), "kind")).alias("use"))
-    three = imports.select(
+    # Bases of classes are told by references as well.
+    three = imports.where("via is null or via != 'base'").select(
         "language", "path", F.lit("import").alias("tab"), "ord", text.last_segment("written").alias("name"), "written", F.when(F.col("glob"), "glob").otherwise("import").alias("kind"), "line", F.col("importer").alias("from"),
         null.alias("receiver"), F.col("alias").alias("local"), null.alias("typed"), "via", F.when(F.col("language") == "markdown", "link").otherwise("import").alias("use"),
     )
@@ -84,26 +88,37 @@ def python_imported(imports: DataFrame, files: DataFrame, symbols: DataFrame) ->
 
 
 def python_ancestors(symbols: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, class) with each class above it (a_path, a_class) and how far, nearest first."""
+    """(path, class) with each class above it (a_path, a_class) and its place in the order in which members are looked up."""
     classes = symbols.where("language = 'python' and kind = 'class'").select(F.col("path").alias("a_path"), F.col("qualified").alias("a_class"))
     bases = imports.where("language = 'python' and via = 'base'").select("path", "ord", F.lit("import").alias("tab"), F.col("importer").alias("class"), "written")
-    own = bases.join(classes, (F.col("path") == F.col("a_path")) & (F.col("written") == F.col("a_class"))).select("path", "class", "a_path", "a_class")
+    own = bases.join(classes, (F.col("path") == F.col("a_path")) & (F.col("written") == F.col("a_class"))).select("path", "class", "a_path", "a_class", "ord")
     named = imports.where("language = 'python' and alias is not null").select("path", F.lit("import").alias("tab"), "ord", "written", "alias")
     led = python_imported(named, files, symbols).join(named.select("path", "tab", "ord", "alias"), SITE)
-    through = bases.drop("ord", "tab").withColumn("head", F.substring_index("written", ".", 1)).join(led.select("path", F.col("alias").alias("head"), "m_path", "d_qualified"), ["path", "head"])
+    through = bases.drop("tab").withColumn("head", F.substring_index("written", ".", 1)).join(led.select("path", F.col("alias").alias("head"), "m_path", "d_qualified"), ["path", "head"])
     tail = F.regexp_replace("written", r"^[^.]*\.?", "")
     wanted = F.when(F.col("d_qualified").isNull(), tail).when(tail == "", F.col("d_qualified")).otherwise(F.concat_ws(".", "d_qualified", tail))
-    far = through.withColumn("wanted", wanted).join(classes, (F.col("m_path") == F.col("a_path")) & (F.col("wanted") == F.col("a_class"))).select("path", "class", "a_path", "a_class")
-    step = own.unionByName(far).distinct()
-    out = step.withColumn("far", F.lit(1))
-    now = out
-    for k in range(2, graph.FOLLOWED + 1):
-        on = step.select(F.col("path").alias("a_path"), F.col("class").alias("a_class"), F.col("a_path").alias("n_path"), F.col("a_class").alias("n_class"))
-        now = now.join(on, ["a_path", "a_class"]).select("path", "class", F.col("n_path").alias("a_path"), F.col("n_class").alias("a_class"), F.lit(k).alias("far"))
-        out = out.unionByName(now)
-        if k == 4:
-            break  # classes deeper than this are rare; the plan stays short
-    return out.groupBy("path", "class", "a_path", "a_class").agg(F.min("far").alias("far"))
+    far = through.withColumn("wanted", wanted).join(classes, (F.col("m_path") == F.col("a_path")) & (F.col("wanted") == F.col("a_class"))).select("path", "class", "a_path", "a_class", "ord")
+    step = settled(own.unionByName(far).groupBy("path", "class", "a_path", "a_class").agg(F.min("ord").alias("ord")))
+    # Classes above, however deep: pairs new in a round are extended in the next.
+    known = front = step.select("path", "class", "a_path", "a_class")
+    on = step.select(F.col("path").alias("a_path"), F.col("class").alias("a_class"), F.col("a_path").alias("n_path"), F.col("a_class").alias("n_class"))
+    while front.take(1):
+        further = front.join(on, ["a_path", "a_class"]).select("path", "class", F.col("n_path").alias("a_path"), F.col("n_class").alias("a_class")).distinct()
+        front = settled(further.join(known, ["path", "class", "a_path", "a_class"], "left_anti"))
+        known = settled(known.unionByName(front))
+    # Of each class, the bases in order of it and of all above it, which its linear order is made of.
+    key = lambda p, c: F.concat_ws("\t", p, c)
+    bases = step.groupBy(key("path", "class").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", key("a_path", "a_class").alias("b")))), lambda x: x["b"]).alias("bases"))
+    reach = known.select(key("path", "class").alias("class_key"), key("a_path", "a_class").alias("c")).unionByName(step.select(key("path", "class").alias("class_key"), key("path", "class").alias("c")).distinct())
+    held = reach.join(bases, "c").groupBy("class_key").agg(F.collect_list(F.struct("c", "bases")).alias("held"))
+
+    def orders(batches):
+        for part in batches:
+            found = [(k, *a.split("\t"), n) for k, rows in zip(part["class_key"], part["held"], strict=True) for n, a in enumerate(graph.linearized({r["c"]: list(r["bases"]) for r in rows}, k)) if n]
+            frame = pd.DataFrame(found, columns=["class_key", "a_path", "a_class", "far"])
+            yield frame.assign(path=frame.class_key.str.split("\t").str[0], **{"class": frame.class_key.str.split("\t").str[1]})[["path", "class", "a_path", "a_class", "far"]]
+
+    return held.mapInPandas(orders, "path string, class string, a_path string, a_class string, far int")
 
 
 def python(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, library: list[str] = ()) -> Tiers:
@@ -262,8 +277,9 @@ def bash(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFra
     unique = _hit(named.where((F.col("d_kind") == "function")))
     environment = _hit(named.where("d_kind = 'environment'"))
     globbed = own.where("written is not null and tab = 'call'").withColumn("pattern", F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("written", r"[.+()\[\]{}^$|?\\]", r"\\$0"), r"\*", ".*"), F.lit("$")))
-    # A computed name may be any function its pattern fits: the patterns are few and met by kind only.
-    computed = _hit(globbed.join(defs.where("d_kind = 'function'"), F.expr("d_name rlike pattern")))
+    # A computed name may be any function its pattern fits; they meet by the text before the first star.
+    heads = defs.where("d_kind = 'function'").withColumn("head", F.explode(F.transform(F.sequence(F.lit(0), F.length("d_name")), lambda n: F.substring("d_name", F.lit(1), n))))
+    computed = _hit(globbed.withColumn("head", F.substring_index("written", "*", 1)).join(heads, "head").where(F.expr("d_name rlike pattern")))
     # A variable a function does not bind may be a caller's.
     callers = _hit(plain.where("tab = 'ref'").join(uses.where("language = 'bash' and tab = 'call'").select(F.col("name").alias("from"), F.col("from").alias("above")), "from").withColumn("full", F.concat_ws("::", "above", "name")).join(defs, F.col("full") == F.col("d_qualified")))
     file_of = symbols.where("kind = 'file'").select(F.col("path").alias("dst"), F.col("ord").alias("f_ord"))
@@ -294,7 +310,8 @@ def nix(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFram
     unique = _unique(last, defs.join(only, "d_name", "left_semi"))
     links = imports.where("language = 'nix'").select("path", "ord", text.folded("written", "path").alias("to"))
     known = symbols.where("language = 'nix' and kind = 'file'").select(F.col("path").alias("dst"), F.col("ord").alias("f_ord"))
-    to = links.join(known, (F.col("to") == F.col("dst")) | (F.concat(F.col("to"), F.lit("/default.nix")) == F.col("dst")))
+    either = links.unionByName(links.withColumn("to", F.concat("to", F.lit("/default.nix"))))
+    to = either.join(known, F.col("to") == F.col("dst"))
     file_ = to.select("path", F.lit("import").alias("tab"), "ord", target("dst", "f_ord").alias("target"))
     return [("scope", scope), ("option", option), ("input", input_), ("unique", unique), ("file", file_)]
 
@@ -339,7 +356,7 @@ def resolved(files: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataF
     """All sites with status, rule and targets (path, ord). Tables hold the facts of each file (path, language)."""
     uses = sites(calls, refs, imports)
     have = {r.language for r in files.select("language").distinct().collect()}
-    libraries = libraries or {}
+    libraries = library_names.METHODS | (libraries or {})
     every: DataFrame | None = None
     makers = {"python": lambda: python(uses, files, symbols, imports, libraries.get("python", [])), "rust": lambda: rust(uses, files, symbols, imports, libraries.get("rust", [])), "c": lambda: c(uses, files, symbols, imports), "bash": lambda: bash(uses, files, symbols, imports), "nix": lambda: nix(uses, files, symbols, imports), "markdown": lambda: markdown(uses, files, symbols, imports)}
     for language, make in makers.items():
