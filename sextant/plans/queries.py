@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text
-from sextant.operators import graph, history, intervals, render, search, store, tiers
+from sextant.operators import graph, history, intervals, ranking, render, search, store, tiers
 from sextant.session import settled
 
 SEARCHED = "the public license version"
@@ -39,8 +39,9 @@ def worktree_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_words(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(text.words("text")).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    """Search words of all documents; equal identifiers are counted before they are cut into words."""
+    found = table(spark, d, "documents").select(F.explode(text.identifiers("text")).alias("identifier")).groupBy("identifier").agg(F.count("*").alias("k"))
+    return found.select(F.explode(text.words("identifier")).alias("word"), "k").groupBy("word").agg(F.sum("k").alias("n"))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +69,9 @@ def search_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stop_word_share(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("lang", F.explode(text.words("text")).alias("word"))
-    return words.groupBy("lang").agg(F.count("*").alias("words"), F.sum(text.is_stop("word").cast("long")).alias("stops"))
+    found = table(spark, d, "documents").select("lang", F.explode(text.identifiers("text")).alias("identifier")).groupBy("lang", "identifier").agg(F.count("*").alias("k"))
+    words = found.select("lang", F.explode(text.words("identifier")).alias("word"), "k")
+    return words.groupBy("lang").agg(F.sum("k").alias("words"), F.sum(F.when(text.is_stop("word"), F.col("k")).otherwise(0)).alias("stops"))
 
 
 def language_of(spark: SparkSession, d: str) -> DataFrame:
@@ -88,11 +90,11 @@ def nearest_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading_slugs(spark: SparkSession, d: str) -> DataFrame:
-    """Anchors of the pages' headings, those of one slug numbered by page."""
-    headings = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("heading"))
-    slugs = headings.withColumn("base", text.slug("heading"))
-    nth = F.row_number().over(Window.partitionBy("base").orderBy("page_id")) - 1
-    return slugs.select("page_id", text.numbered_slug("base", nth).alias("anchor"))
+    """Anchors of all headings of the pages, those of one slug numbered by page and place."""
+    found = F.regexp_extract_all("html", F.lit("<h[1-6]>(.*?)</h[1-6]>"), F.lit(1))
+    slugs = table(spark, d, "pages").select("page_id", F.posexplode(found).alias("at", "heading")).withColumn("base", text.slug("heading"))
+    nth = F.row_number().over(Window.partitionBy("base").orderBy("page_id", "at")) - 1
+    return slugs.select("page_id", "at", text.numbered_slug("base", nth).alias("anchor"))
 
 
 def first_sentence(spark: SparkSession, d: str) -> DataFrame:
@@ -120,9 +122,11 @@ def resolve_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Each page under the longest of the folders that hold many pages."""
+    """Each page under the longest of the folders that hold three pages or more, at any depth."""
     paths = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"//([^?#]*)", 1).alias("path"))
-    roots = paths.select(F.regexp_extract("path", r"^([^/]*/[^/]*)/", 1).alias("root")).union(paths.select(F.regexp_extract("path", r"^([^/]*)", 1).alias("root"))).where("root != ''").distinct()
+    cut = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cut) - 1, F.lit(1))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
+    roots = paths.select(F.explode(folders).alias("root")).groupBy("root").agg(F.count("*").alias("n")).where("n > 2 and root != ''").select("root")
     return intervals.nearest_prefix(paths, roots, "path", "root").select("page_id", F.coalesce("root", F.lit("")).alias("root"))
 
 
@@ -213,9 +217,9 @@ def pagerank_focus(spark: SparkSession, d: str) -> DataFrame:
 def map_by_file(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers grouped by nation, the nation of the best first, each nation's from the best."""
     rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("s_acctbal"), "s_suppkey"))
-    ranked = rows.withColumn("place", place).withColumn("best", F.min("place").over(Window.partitionBy("s_nationkey")))
-    return ranked.select("s_nationkey", "s_suppkey", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("best", "place")).cast("long").alias("nth"))
+    ranked = ranking.placed(rows, [F.desc("s_acctbal"), "s_suppkey"])
+    best = ranked.groupBy("s_nationkey").agg(F.min("place").alias("best"))
+    return ranking.placed(ranked.join(best, "s_nationkey"), ["best", "place"], "nth").select("s_nationkey", "s_suppkey", "nth")
 
 
 def budget_cut(spark: SparkSession, d: str) -> DataFrame:
@@ -259,10 +263,11 @@ def touched_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rename_follow(spark: SparkSession, d: str) -> DataFrame:
-    """Names of files through their renames: part k was once part k - 9, as long as there is one."""
+    """Names of all files through their renames: part k was once part k div 2, down to part 1."""
     part = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"))
-    changes = part.where("k > 9").select((1000 - F.col("k")).alias("place"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.concat(F.lit("f"), (F.col("k") - 9).cast("string")).alias("renamed"))
-    paths = part.where("k % 10 = 0 and k <= 100").select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"))
+    named = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    changes = part.where("k > 1").select((F.lit(1 << 40) - F.col("k")).alias("place"), named(F.col("k")).alias("path"), named(F.floor(F.col("k") / 2)).alias("renamed"))
+    paths = part.select(named(F.col("k")).alias("path"))
     return history.followed(changes, paths).select("start", "path", "from", F.coalesce("until", F.lit(-1)).alias("until"))
 
 

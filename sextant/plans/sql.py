@@ -33,12 +33,12 @@ s AS (SELECT c.doc_id, sum(idf * c * 2.2 / (c + 1.2 * (1 - 0.75 + 0.75 * len / (
 
 
 SPANS = "(SELECT o_orderkey AS id, o_orderkey // 256 AS file, o_orderkey % 256 AS start, o_orderkey % 256 + floor(o_totalprice % 40)::BIGINT AS end_ FROM orders)"
-EDGES = "(SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_linenumber <= 3 AND b.l_linenumber <= 3)"
+EDGES = "(SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
 
 
 def _pagerank(jump: str, steps: int = 6) -> str:
     out = f"""WITH e AS MATERIALIZED (SELECT c_nationkey AS src, (o_orderkey % 25)::INT AS dst, CASE WHEN count(*) > 1 THEN sqrt(count(*)) ELSE 1.0 END AS w FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderkey % 3 = 0 AND c_nationkey <> o_orderkey % 25 GROUP BY ALL),
+  WHERE c_nationkey <> o_orderkey % 25 GROUP BY ALL),
 p AS MATERIALIZED (SELECT src, dst, w / greatest(sum(w) OVER (PARTITION BY src), 1.0) AS part FROM e),
 s0 AS MATERIALIZED (SELECT n_nationkey AS id, {jump} AS jump, {jump} AS share FROM nation)"""
     for k in range(1, steps + 1):
@@ -64,12 +64,13 @@ SQL: dict[str, str] = {
       SELECT '{WEAK}' AS query, (SELECT count(*) FROM s) AS holding, (SELECT k >= 2 OR got >= least(ln(1 + ((SELECT n FROM n) - 0.5) / 1.5), (SELECT known FROM f) + (2 - (SELECT count(*) FROM i)) * ln(1 + ((SELECT n FROM n) + 0.5) / 0.5)) - 1e-9 FROM g) AS answered)
       SELECT * FROM a UNION ALL SELECT * FROM b""",
     "stop_word_share": f"SELECT lang, count(*) AS words, sum((word IN ({STOPS}))::BIGINT)::BIGINT AS stops FROM {_words('documents', 'text', 'lang')} GROUP BY lang",
-    "language_of": """SELECT CASE ext WHEN 'rs' THEN 'rust' WHEN 'nix' THEN 'nix' WHEN 'sh' THEN 'bash' WHEN 'py' THEN 'python' WHEN 'h' THEN 'c' WHEN 'c' THEN 'c' WHEN 'md' THEN 'markdown' END AS language, count(*) AS files
-      FROM (SELECT lower(['rs', 'nix', 'sh', 'py', 'h', 'md', 'txt', 'C'][(p_partkey % 8 + 1)::INT]) AS ext FROM part) GROUP BY 1""",
+    "language_of": """SELECT CASE ext WHEN 'rs' THEN 'rust' WHEN 'nix' THEN 'nix' WHEN 'sh' THEN 'bash' WHEN 'py' THEN 'python' WHEN 'h' THEN 'c' WHEN 'md' THEN 'markdown' END AS language, count(*) AS files
+      FROM (SELECT ['rs', 'nix', 'sh', 'py', 'h', 'md', 'txt', 'C'][(p_partkey % 8 + 1)::INT] AS ext FROM part) GROUP BY 1""",
     "nearest_names": """SELECT p_partkey, p_name, CASE WHEN contains(lower(p_name), 'forest gren') OR contains('forest gren', lower(p_name)) THEN 0 ELSE levenshtein(lower(p_name), 'forest gren') END::INT AS distance
       FROM part ORDER BY distance, length(p_name), p_partkey LIMIT 8""",
-    "heading_slugs": r"""WITH b AS (SELECT page_id, replace(regexp_replace(lower(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '[^\p{L}\p{M}\p{Nd}\p{Pc}\- ]', '', 'g'), ' ', '-') AS base FROM pages),
-      n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) - 1 AS nth FROM b) SELECT page_id, CASE WHEN nth = 0 THEN base ELSE base || '-' || nth END AS anchor FROM n""",
+    "heading_slugs": r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6]>(.*?)</h[1-6]>', 1)) AS heading, unnest(range(0, len(regexp_extract_all(html, '<h[1-6]>(.*?)</h[1-6]>', 1))))::INT AS "at" FROM pages),
+      b AS (SELECT page_id, "at", replace(regexp_replace(lower(heading), '[^\p{L}\p{M}\p{Nd}\p{Pc}\- ]', '', 'g'), ' ', '-') AS base FROM h),
+      n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id, "at") - 1 AS nth FROM b) SELECT page_id, "at", CASE WHEN nth = 0 THEN base ELSE base || '-' || nth END AS anchor FROM n""",
     "first_sentence": r"""WITH l AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '^\n+', '') AS t FROM documents),
       p AS (SELECT doc_id, replace(regexp_replace(string_split(t, chr(10) || chr(10))[1], '\n$', ''), chr(10), ' ') AS t FROM l),
       s AS (SELECT doc_id, CASE WHEN regexp_extract(t, '^(.*?\S\.) ', 1) = '' THEN t ELSE regexp_extract(t, '^(.*?\S\.) ', 1) END AS s FROM p)
@@ -82,7 +83,8 @@ SQL: dict[str, str] = {
       SELECT c.c_custkey, CASE WHEN t IS NULL THEN 'external' WHEN len(t) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN len(t) = 1 THEN CASE tier WHEN 1 THEN 'module' ELSE 'unique' END ELSE '' END AS rule,
         coalesce(len(t), 0)::BIGINT AS n, coalesce(array_to_string(t, ','), '') AS targets FROM c LEFT JOIN g USING (c_custkey)""",
     "nearest_scope": r"""WITH p AS (SELECT page_id, regexp_extract(url, '//([^?#]*)', 1) AS path FROM pages),
-      r AS (SELECT DISTINCT root FROM (SELECT regexp_extract(path, '^([^/]*/[^/]*)/', 1) AS root FROM p UNION SELECT regexp_extract(path, '^([^/]*)', 1) FROM p) WHERE root <> '')
+      f AS (SELECT page_id, array_to_string(string_split(path, '/')[1:k], '/') AS root FROM (SELECT *, unnest(range(1, greatest(len(string_split(path, '/')), 2))) AS k FROM p)),
+      r AS (SELECT root FROM f WHERE root <> '' GROUP BY root HAVING count(*) > 2)
       SELECT page_id, coalesce(max_by(root, length(root)), '') AS root FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY page_id""",
     "point_in_interval": f"""WITH h AS (SELECT event_id, arg_max(id, (start, -end_, -id)) AS id FROM (SELECT event_id, event_id // 64 AS file, event_id * 7 % 256 AS line FROM events) e JOIN {SPANS} s ON s.file = e.file AND start <= line AND line <= end_ GROUP BY event_id)
       SELECT e.event_id, coalesce(h.id, -1) AS span FROM events e LEFT JOIN h ON h.event_id = e.event_id""",
@@ -110,8 +112,8 @@ SQL: dict[str, str] = {
     "trailer_join": "SELECT event_id AS rev FROM events WHERE event_type = 'click' AND (json_extract_string(props, '$.k') = '17' OR event_id % 50 = 17)",
     "touched_rollup": """WITH s AS (SELECT user_id AS path, event_type AS qualified, sum(floor(value)::BIGINT)::BIGINT AS added, sum(event_id % 7)::BIGINT AS removed, count(*) AS commits, min(event_id) AS first FROM events GROUP BY ALL)
       SELECT *, row_number() OVER (ORDER BY added + removed DESC, first, path, qualified) AS nth FROM s""",
-    "rename_follow": """WITH RECURSIVE r AS (SELECT p_partkey AS start, p_partkey AS k, -1::BIGINT AS from_ FROM part WHERE p_partkey % 10 = 0 AND p_partkey <= 100 UNION ALL SELECT start, k - 9, 1000 - k FROM r WHERE k > 9)
-      SELECT 'f' || start AS start, 'f' || k AS path, from_ AS "from", CASE WHEN k > 9 THEN 1000 - k ELSE -1 END AS until FROM r""",
+    "rename_follow": """WITH RECURSIVE r AS (SELECT p_partkey AS start, p_partkey AS k, -1::BIGINT AS from_ FROM part UNION ALL SELECT start, k // 2, 1099511627776 - k FROM r WHERE k > 1)
+      SELECT 'f' || start AS start, 'f' || k AS path, from_ AS "from", CASE WHEN k > 1 THEN 1099511627776 - k ELSE -1 END AS until FROM r""",
     "condition_3vl": """WITH x AS (SELECT d.doc_id, quality = 1 AS a, CASE WHEN d.doc_id % 3 <> 0 THEN toxic = 1 END AS b FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
       SELECT doc_id, coalesce(CASE WHEN a AND b THEN 'true' WHEN NOT (a AND b) THEN 'false' END, 'unknown') AS "both", coalesce(CASE WHEN a OR b THEN 'true' WHEN NOT (a OR b) THEN 'false' END, 'unknown') AS either,
         coalesce(CASE WHEN NOT a THEN 'true' WHEN a THEN 'false' END, 'unknown') AS not_a FROM x""",
