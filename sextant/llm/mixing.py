@@ -205,9 +205,9 @@ def copies(mix: DataFrame, columns: list[str]) -> DataFrame:
     pieces = F.regexp_extract_all(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     # As a lambda's argument the pieces are made once for a row, not once for a span.
     part = F.transform(F.array(pieces), lambda p: F.array_join(F.flatten(F.transform("mix_spans", lambda x: F.slice(p, x["s"] + 1, x["e"] - x["s"]))), ""))[0]
-    full = mix.where("mix_rounds > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_rounds")))).select(*[quoted(c) for c in columns])
-    cut = mix.where(F.size("mix_spans") > 0).select(*[part.alias(c) if c == "text" else quoted(c) for c in columns])
-    return full.union(cut)
+    texts = F.concat(F.array_repeat("text", F.col("mix_rounds").cast("int")), F.when(F.size("mix_spans") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    made = mix.withColumn("mix_text", F.explode(texts))
+    return made.select(*[F.col("mix_text").alias(c) if c == "text" else quoted(c) for c in columns])
 
 
 def digested(mix: DataFrame) -> DataFrame:
