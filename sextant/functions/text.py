@@ -58,13 +58,16 @@ def identifiers(text: Column | str) -> Column:
 
 def cut_lower(text: Column | str) -> Column:
     """A text in lower case whose identifiers have an underscore where `parts` cuts them."""
-    cut = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"([\p{Ll}\p{N}])(\p{Lu})", "$1_$2")
-    return F.lower(F.regexp_replace(cut, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1_$2"))
+    whole = F.coalesce(col(text), F.lit(""))
+    cut = F.regexp_replace(F.regexp_replace(whole, r"([\p{Ll}\p{N}])(\p{Lu})", "$1_$2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1_$2")
+    # Most texts have no place to cut, as one look tells.
+    return F.lower(F.when(whole.rlike(r"[\p{L}\p{N}]\p{Lu}"), cut).otherwise(whole))
 
 
 def word_count(cut: Column) -> Column:
     """How many `words` a text has, of what `cut_lower` made of it: its parts, and one more for each identifier of several."""
-    return F.regexp_count(cut, F.lit(r"[\p{L}\p{N}]+")) + F.regexp_count(cut, F.lit(r"[\p{L}\p{N}]+_+[\p{L}\p{N}][\p{L}\p{N}_]*+"))
+    several = F.regexp_count(cut, F.lit(r"[\p{L}\p{N}]++_++[\p{L}\p{N}][\p{L}\p{N}_]*+"))
+    return F.regexp_count(cut, F.lit(r"[\p{L}\p{N}]++")) + F.when(cut.contains("_"), several).otherwise(0)
 
 
 def word_times(cut: Column, word: str) -> Column:
@@ -79,7 +82,8 @@ def word_times(cut: Column, word: str) -> Column:
     parts_ = F.regexp_count(cut, F.lit(f"(?<!{inner})(?:{plain})(?!{inner})"))
     whole = F.regexp_count(cut, F.lit(f"(?<!{outer})_*+(?:{spread})_*+(?!{outer})"))
     alone = F.regexp_count(cut, F.lit(f"(?<!{outer})_*+(?:{plain})_*+(?!{outer})"))
-    return parts_ + whole - alone
+    held = reduce(lambda a, b: a | b, (cut.contains(w) for w in forms))
+    return F.when(held, parts_).otherwise(0) + F.when(cut.contains("_"), whole - alone).otherwise(0)
 
 
 def is_stop(word: Column | str) -> Column:
