@@ -128,6 +128,7 @@ ROWS: dict[str, list[tuple]] = {
     ],
     "edges_python": [
         ("py/base.py", 11, "area", "call method", "resolved", "receiver", "py/base.py Shape.area"),
+        ("py/base.py", 11, "area", "call method", "resolved", "override", "py/round.py Circle.area"),
         ("py/base.py", 11, "self", "reference value", "external", "", ""),
         ("py/round.py", 1, "Named", "import", "resolved", "import", "py/base.py Named"),
         ("py/round.py", 1, "Shape", "import", "resolved", "import", "py/base.py Shape"),
@@ -240,7 +241,9 @@ ROWS: dict[str, list[tuple]] = {
         "py/round.py:14-15 function scale",
         "  1: py/round.py:5-6 method Circle.area",
         "  1: py/round.py:18-21 function main",
-        "2 callers in 1 file, to depth 3; nothing reaches depth 2",
+        "  2: py/base.py:10-11 method Shape.describe",
+        "  3: py/round.py:10-11 method Label.show",
+        "4 callers in 2 files, to depth 3",
     ])),
     "question_search": list(enumerate([
         "rs/tank.rs:2-4 struct Tank 6.532",

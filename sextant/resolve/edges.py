@@ -136,7 +136,7 @@ def python(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataF
     binds = imports.where("language = 'python' and alias is not null and via != 'base'").select("path", F.lit("import").alias("tab"), "ord", "written", "alias")
     led = python_imported(binds, files, symbols).join(binds.select("path", "tab", "ord", "alias"), SITE)
     by_import = typed.select(*SITE, "name", "super", "class").join(led.where("d_kind = 'class'").select("path", F.col("alias").alias("class"), F.col("d_path").alias("c_path"), F.col("d_qualified").alias("c_class")), ["path", "class"]).select(*SITE, "name", "super", "c_path", "c_class")
-    above = python_ancestors(symbols, imports, files)
+    above = settled(python_ancestors(symbols, imports, files))
     start = here.unionByName(by_import)
     reached = start.where("not super").select(*SITE, "name", "c_path", "c_class", F.lit(0).alias("far")).unionByName(
         start.join(above, (F.col("c_path") == above.path) & (F.col("c_class") == above["class"])).select(*[start[c] for c in SITE], "name", F.col("a_path").alias("c_path"), F.col("a_class").alias("c_class"), "far")
@@ -161,7 +161,35 @@ def python(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataF
     to = python_imported(sites_.select(*SITE, "written"), files, symbols)
     file_of = symbols.where("kind = 'file'").select(F.col("path").alias("m_path"), F.col("ord").alias("f_ord"))
     named_import = to.join(file_of, "m_path", "left").select(*SITE, target("m_path", F.coalesce("d_ord", "f_ord")).alias("target"))
-    return [("scope", scope), ("receiver", receiver), ("import", imported.unionByName(named_import)), ("glob", glob), ("unique", unique)]
+    receiver = settled(receiver)
+    overrides = settled(python_overrides(here, code, symbols, above, receiver))
+    return [("scope", scope), ("receiver", receiver), ("import", imported.unionByName(named_import)), ("glob", glob), ("unique", unique), ("override", overrides)]
+
+
+def python_overrides(typed: DataFrame, code: DataFrame, symbols: DataFrame, above: DataFrame, receiver: DataFrame) -> DataFrame:
+    """Members that a use through `self` reaches in subclasses of the class it stands in: of each
+    subclass, at any depth, whose instances run the method of the use, the first member of the name in
+    its order, unless the class itself reads that one. `typed` has a use's class (c_path, c_class)."""
+    written = code.where(r"written rlike '^self\\.[^.]+$' and typed is not null").select(*SITE, "from")
+    uses = typed.where("not super").join(written, SITE).withColumn("method", F.when(F.expr("startswith(`from`, c_class || '.')"), F.expr("split(substr(`from`, length(c_class) + 2), '[.]')[0]")))
+    asked = uses.select("c_path", "c_class", "name", "method").distinct()
+    # Each subclass with its order: itself, then the classes above it.
+    classes = symbols.where("language = 'python' and kind = 'class'").select("path", F.col("qualified").alias("class"))
+    order = above.select("path", "class", "a_path", "a_class", "far").unionByName(classes.select("path", "class", F.col("path").alias("a_path"), F.col("class").alias("a_class"), F.lit(0).alias("far")))
+    below = asked.join(above.select(F.col("a_path").alias("c_path"), F.col("a_class").alias("c_class"), "path", "class", F.col("far").alias("depth")), ["c_path", "c_class"])
+    key = ["c_path", "c_class", "method", "path", "class"]
+    members = _defs(symbols, "python").where(~F.col("d_kind").isin(*UNNAMED)).select(F.col("d_path").alias("a_path"), F.col("d_qualified").alias("member"), "d_ord")
+    along = below.join(order, ["path", "class"])
+    # A method of a class before it that does not call on to `super()` keeps the class's own from running.
+    on = code.where("startswith(typed, 'super=')").select(F.col("path").alias("a_path"), F.col("from").alias("member"), F.col("name").alias("method")).distinct()
+    before = along.where("method is not null and far < depth").select(*key, "a_path", "a_class").distinct().withColumn("member", F.concat_ws(".", "a_class", "method"))
+    hidden = before.join(members, ["a_path", "member"]).join(on, ["a_path", "member", "method"], "left_anti").select(*key).distinct()
+    read = along.withColumn("member", F.concat_ws(".", "a_class", "name")).join(members, ["a_path", "member"])
+    first = read.groupBy(*key, "name").agg(F.min_by(F.struct("a_path", "d_ord"), F.struct("far", "d_ord")).alias("d")).join(hidden, key, "left_anti")
+    found = first.select("c_path", "c_class", "name", "method", target("d.a_path", "d.d_ord").alias("target")).distinct()
+    same = [uses[c].eqNullSafe(found[c]) for c in ("c_path", "c_class", "name", "method")]
+    hits = uses.join(found, same[0] & same[1] & same[2] & same[3]).select(*SITE, "target")
+    return hits.join(receiver, [*SITE, "target"], "left_anti")
 
 
 # Rust
@@ -361,6 +389,11 @@ def resolved(files: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataF
     makers = {"python": lambda: python(uses, files, symbols, imports, libraries.get("python", [])), "rust": lambda: rust(uses, files, symbols, imports, libraries.get("rust", [])), "c": lambda: c(uses, files, symbols, imports), "bash": lambda: bash(uses, files, symbols, imports), "nix": lambda: nix(uses, files, symbols, imports), "markdown": lambda: markdown(uses, files, symbols, imports)}
     for language, make in makers.items():
         if language in have:
-            rows = tiers.first_tier(uses.where(F.col("language") == language), make(), SITE, "target")
+            own, made = uses.where(F.col("language") == language), make()
+            rows = tiers.first_tier(own, [t for t in made if t[0] != "override"], SITE, "target")
+            for rule, hits in made:
+                if rule == "override":
+                    # Each is an edge of its own, beside what the use reaches itself if that is anything.
+                    rows = rows.join(hits.withColumn("status", F.lit("external")), [*SITE, "status"], "left_anti").unionByName(own.join(hits, SITE).select("*", F.lit("resolved").alias("status"), F.lit(rule).alias("rule"), F.array("target").alias("targets")).drop("target"))
             every = rows if every is None else every.unionByName(rows)
     return every if every is not None else uses.limit(0).withColumns({"status": F.lit("external"), "rule": F.lit(None).cast("string"), "targets": F.array().cast("array<struct<path:string,ord:int>>")})
