@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sextant import schemas
 from sextant.extract import extract
-from sextant.resolve import edges
+from sextant.resolve import edges, places
 
 
 def resolved(spark, files: dict[str, tuple[str, str]]) -> set[tuple]:
@@ -73,3 +73,37 @@ def test_a_use_through_self_reaches_what_subclasses_override(spark):
     # A variable of the class is told by its type alone.
     assert {t for t in step if t[0] == 37} == {(37, "receiver", "Base.step")}
     assert not any(rule == "override" for _, line, _, _, rule, _ in got if line == 4)
+
+
+CRATE = {
+    "pkg/src/lib.rs": "pub mod store;\nmod other;\npub fn top() {}\n",
+    "pkg/src/main.rs": "mod other;\nfn main() { other::go(); }\n",
+    "pkg/src/store/mod.rs": "pub mod disk;\nuse crate::other::make as build;\nuse self::disk::Disk;\npub fn make() {}\npub fn all() { build(); super::top(); disk::make(); crate::store::make(); Disk::open(); }\n",
+    "pkg/src/store/disk.rs": "use super::*;\npub struct Disk;\nimpl Disk { pub fn open() {} }\npub fn make() {}\npub fn more() { all(); }\nmod tests {\n    fn it() { super::make(); }\n}\n",
+    "pkg/src/other.rs": "pub fn make() {}\npub fn go() {}\npub struct Disk;\nimpl Disk { pub fn open() {} }\n",
+}
+
+
+def test_places_follow_mod_items(spark):
+    files = spark.createDataFrame([(p, "rust") for p in [*CRATE, "pkg/tests/it.rs", "pkg/src/bin/tool.rs", "pkg/src/left.rs", "loose.rs"]], "path string, language string")
+    facts = [("rust", p, s["kind"], s["qualified"], s["declared"]) for p, t in CRATE.items() for s in extract("rust", t.encode())["symbols"]]
+    symbols = spark.createDataFrame(facts, "language string, path string, kind string, qualified string, declared boolean")
+    got = {tuple(r) for r in places.placed(files, symbols).select("path", "crate", "module").collect()}
+    assert got == {
+        ("pkg/src/lib.rs", "pkg", ""), ("pkg/src/main.rs", "pkg:main", ""), ("pkg/src/store/mod.rs", "pkg", "store"), ("pkg/src/store/disk.rs", "pkg", "store::disk"), ("pkg/src/other.rs", "pkg", "other"),
+        ("pkg/src/other.rs", "pkg:main", "other"), ("pkg/tests/it.rs", "pkg:tests/it", ""), ("pkg/src/bin/tool.rs", "pkg:bin/tool", ""), ("pkg/src/left.rs", "pkg", "left"), ("loose.rs", "loose.rs", ""),
+    }
+
+
+def test_rust_paths_are_told_from_the_root(spark):
+    got = resolved(spark, {p: ("rust", t) for p, t in CRATE.items()})
+    at = {(path.removeprefix("pkg/src/"), line, name): (status, rule, to) for path, line, name, status, rule, to in got}
+    led = lambda path, line, name: at[path, line, name]
+    assert led("main.rs", 2, "go") == ("resolved", "path", "go")
+    assert led("store/mod.rs", 5, "build") == ("resolved", "import", "make")
+    assert led("store/mod.rs", 5, "top") == ("resolved", "path", "top")
+    assert led("store/mod.rs", 5, "open") == ("resolved", "path", "Disk::open")
+    assert led("store/disk.rs", 5, "all") == ("resolved", "glob", "all")
+    assert led("store/disk.rs", 7, "make") == ("resolved", "path", "make")
+    made = {(path, to_status) for path, line, name, to_status, _, _ in got if name == "make" and line == 5}
+    assert made == {("pkg/src/store/mod.rs", "resolved")}
