@@ -19,8 +19,8 @@ from sextant import schemas
 from sextant.extract import VERSION, extract
 from sextant.functions import text
 from sextant.operators import graph, history, intervals, ranking, render, search, store
+from sextant.resolve import cargo, live
 from sextant.resolve import edges as resolve
-from sextant.resolve import live
 from sextant.session import settled, shipped
 from sextant.sources import git
 
@@ -116,11 +116,19 @@ class Engine:
 
     def _resolved(self) -> DataFrame:
         parts = {p: self._dealt(p) for p in ("symbols", "calls", "refs", "imports", "branches")}
-        symbols = live.live(parts["symbols"], parts["branches"])
-        return resolve.resolved(self.files(), symbols, *(parts[p] for p in ("calls", "refs", "imports")))
+        manifests = cargo.read(self.root, [r.path for r in self._manifests().select("path").collect()])
+        on = cargo.features(manifests, live.RUST)
+        roots = {r.path for r in self.files().where("language = 'rust'").select("path").collect()} if any(m.get(k) for m in manifests.values() for k in cargo.ROOTS) else set()
+        symbols = live.live(parts["symbols"], parts["branches"], on, cargo.skipped(manifests, on, roots))
+        return resolve.resolved(self.files(), symbols, *(parts[p] for p in ("calls", "refs", "imports")), crates=cargo.libraries(manifests))
+
+    def _manifests(self) -> DataFrame:
+        self.files()
+        return self._read("files").where(F.col("path").rlike(r"(^|/)Cargo\.toml$")).select("path", F.col("content").alias("blob"))
 
     def digest(self) -> str:
-        row = store.digest(self.files().withColumn("all", F.lit(1)), ["all"], "path", "blob").first()
+        """Digest of the files that answers depend on: those of a language, and manifests."""
+        row = store.digest(self.files().select("path", "blob").unionByName(self._manifests()).withColumn("all", F.lit(1)), ["all"], "path", "blob").first()
         return row.digest if row else ""
 
     def graph(self) -> DataFrame:

@@ -196,7 +196,7 @@ def python_overrides(typed: DataFrame, code: DataFrame, symbols: DataFrame, abov
 # Rust
 
 
-def rust(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, library: list[str] = ()) -> Tiers:
+def rust(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, library: list[str] = (), crates: dict[str, str] | None = None) -> Tiers:
     own = uses.where("language = 'rust' and tab != 'import'")
     defs = _defs(symbols, "rust").where(~F.col("d_kind").isin(*UNNAMED))
     outer = F.regexp_replace(F.coalesce("from", F.lit("")), r"(^|::)[^:]*$", "")
@@ -224,48 +224,49 @@ def rust(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFra
     on_self = methods.where("receiver = 'self'").withColumn("type", F.element_at(F.split(outer, "::"), -1)).where("type != ''")
     receiver = _hit(on_self.withColumn("pair", F.concat_ws("::", "type", "name")).join(members.where("d_kind = 'method'"), F.col("pair") == F.col("tail"), "left"))
     unique = _unique(methods, defs.where("d_kind = 'method'"), list(library)).unionByName(_unique(plain.where("kind in ('free', 'macro', 'type')"), defs.where(~F.col("d_kind").isin("method", "variant"))))
-    by_path, by_import, by_glob, by_use = rust_places(uses, own, defs, files, symbols, imports)
+    by_path, by_import, by_glob, by_use = rust_places(uses, own, defs, files, symbols, imports, crates or {})
     every = uses.where("language = 'rust' and tab = 'import' and kind = 'import'").where(F.col("written").rlike("^(crate|self|super)::"))
     to = _hit(every.join(defs.where(~F.col("d_qualified").contains("::")), F.col("name") == F.col("d_name")))
     return [("nested", nested), ("module", _hit(module)), ("import", by_import.unionByName(by_use)), ("import", imported.unionByName(to)), ("glob", by_glob), ("glob", glob), ("path", by_path), ("path", path.unionByName(in_module)), ("receiver", receiver), ("unique", unique)]
 
 
-def rust_places(uses: DataFrame, own: DataFrame, defs: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def rust_places(uses: DataFrame, own: DataFrame, defs: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, crates: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Hits of paths, of names that an import binds, of names under a glob, and of imports themselves, told by
     the whole path from a crate's root. Paths that begin with no crate, self or super go by the import that
-    binds their first name, else by the module they stand in."""
+    binds their first name, by the library of that name (`crates` has the packages' folders), or by the
+    module they stand in."""
     at = places.placed(files, symbols)
     join = lambda *parts: F.concat_ws("::", *[F.when(p != "", p) for p in parts])
-    whole = defs.join(at.withColumnRenamed("path", "d_path"), "d_path").select("crate", join(F.col("module"), F.regexp_replace("d_qualified", r"#\d+", "")).alias("full"), "d_path", "d_ord")
+    whole = defs.join(at.withColumnRenamed("path", "d_path"), "d_path").select(F.col("crate").alias("to_crate"), join(F.col("module"), F.regexp_replace("d_qualified", r"#\d+", "")).alias("full"), "d_path", "d_ord")
+    named = files.sparkSession.createDataFrame(sorted(crates.items()), "head string, library string")
     # Inline modules around a use are part of where it stands.
     inline = symbols.where("language = 'rust' and kind = 'module' and not declared").select("path", F.col("qualified").alias("around"))
     holders = uses.where("language = 'rust' and `from` is not null").select("path", "from").distinct()
     inner = holders.join(inline, "path").where("`from` = around or startswith(`from`, around || '::')").groupBy("path", "from").agg(F.max_by("around", F.length("around")).alias("around"))
 
     def standing(rows: DataFrame) -> DataFrame:
-        out = rows.join(inner, ["path", "from"], "left").join(at, "path")
-        return out.withColumn("here", join(F.col("module"), F.coalesce("around", F.lit("")))).drop("module", "around")
+        """Rows with their crate, and where `written` leads as (to_crate, full) for each way to read it."""
+        out = rows.join(inner, ["path", "from"], "left").join(at, "path").withColumn("here", join(F.col("module"), F.coalesce("around", F.lit(""))))
+        out = out.withColumns({"full": places.absolute(F.col("written"), F.col("here")), "head": F.substring_index("written", "::", 1)}).drop("module", "around")
+        beside = out.withColumns({"to_crate": F.col("crate"), "full": F.coalesce("full", join(F.col("here"), F.col("written")))})
+        far = out.where("full is null").join(named, "head").withColumns({"to_crate": F.col("library"), "full": F.expr("substr(written, length(head) + 3)")}).drop("library")
+        return beside.unionByName(far)
 
     def led(rows: DataFrame) -> DataFrame:
-        return _hit(rows.where("full is not null").join(whole, ["crate", "full"]))
+        return _hit(rows.where("full is not null").join(whole, ["to_crate", "full"]))
 
-    bound = imports.where("language = 'rust'").select("path", F.col("importer").alias("from"), "written", "alias", "glob")
-    bound = standing(bound).withColumn("to", F.coalesce(places.absolute(F.col("written"), F.col("here")), join(F.col("here"), F.col("written"))))
-    names = bound.where("not glob").select("path", "crate", F.coalesce("alias", text.last_segment("written")).alias("head"), "to").distinct()
-    globs = bound.where("glob").select("path", "crate", "to").distinct()
+    bound = standing(imports.where("language = 'rust'").select("path", F.col("importer").alias("from"), "written", "alias", "glob"))
+    names = bound.where("not glob").select("path", "crate", F.coalesce("alias", text.last_segment("written")).alias("head"), "to_crate", F.col("full").alias("to")).distinct()
+    globs = bound.where("glob").select("path", "crate", "to_crate", F.col("full").alias("to")).distinct()
+    columns = [*SITE, "to_crate", "full"]
     paths = standing(own.where("written is not null and kind != 'method'").select(*SITE, "from", "name", "written"))
-    rest = F.expr("substr(written, length(head) + 3)")
-    known = paths.withColumn("full", places.absolute(F.col("written"), F.col("here")))
-    relative = known.where("full is null").drop("full").withColumn("head", F.substring_index("written", "::", 1))
-    through = relative.join(names, ["path", "crate", "head"]).withColumn("full", join(F.col("to"), rest))
-    beside = relative.withColumn("full", join(F.col("here"), F.col("written")))
-    columns = [*SITE, "crate", "full"]
-    by_path = led(known.select(*columns).unionByName(through.select(*columns)).unionByName(beside.select(*columns)))
+    relative = paths.where("head not in ('crate', 'self', 'super')").select(*SITE, "crate", "head", "written").distinct()
+    through = relative.join(names, ["path", "crate", "head"]).withColumn("full", join(F.col("to"), F.expr("substr(written, length(head) + 3)")))
+    by_path = led(paths.select(*columns).unionByName(through.select(*columns)))
     plain = own.where("written is null and kind != 'method'").select(*SITE, "name").join(at.select("path", "crate"), "path")
     by_import = led(plain.withColumnRenamed("name", "head").join(names, ["path", "crate", "head"]).withColumn("full", F.col("to")))
     by_glob = led(plain.join(globs, ["path", "crate"]).withColumn("full", join(F.col("to"), F.col("name"))))
-    used = standing(uses.where("language = 'rust' and tab = 'import' and kind = 'import'").select(*SITE, "from", "written"))
-    by_use = led(used.withColumn("full", F.coalesce(places.absolute(F.col("written"), F.col("here")), join(F.col("here"), F.col("written")))))
+    by_use = led(standing(uses.where("language = 'rust' and tab = 'import' and kind = 'import'").select(*SITE, "from", "written")))
     return by_path, by_import, by_glob, by_use
 
 
@@ -421,13 +422,13 @@ def markdown(uses: DataFrame, files: DataFrame, symbols: DataFrame, imports: Dat
     return [("anchor", anchor), ("file", file_), ("file", near), ("file", root), ("file", tail), ("unique", unique)]
 
 
-def resolved(files: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataFrame, imports: DataFrame, libraries: dict[str, list[str]] | None = None) -> DataFrame:
+def resolved(files: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataFrame, imports: DataFrame, libraries: dict[str, list[str]] | None = None, crates: dict[str, str] | None = None) -> DataFrame:
     """All sites with status, rule and targets (path, ord). Tables hold the facts of each file (path, language)."""
     uses = sites(calls, refs, imports)
     have = {r.language for r in files.select("language").distinct().collect()}
     libraries = library_names.METHODS | (libraries or {})
     every: DataFrame | None = None
-    makers = {"python": lambda: python(uses, files, symbols, imports, libraries.get("python", [])), "rust": lambda: rust(uses, files, symbols, imports, libraries.get("rust", [])), "c": lambda: c(uses, files, symbols, imports), "bash": lambda: bash(uses, files, symbols, imports), "nix": lambda: nix(uses, files, symbols, imports), "markdown": lambda: markdown(uses, files, symbols, imports)}
+    makers = {"python": lambda: python(uses, files, symbols, imports, libraries.get("python", [])), "rust": lambda: rust(uses, files, symbols, imports, libraries.get("rust", []), crates), "c": lambda: c(uses, files, symbols, imports), "bash": lambda: bash(uses, files, symbols, imports), "nix": lambda: nix(uses, files, symbols, imports), "markdown": lambda: markdown(uses, files, symbols, imports)}
     for language, make in makers.items():
         if language in have:
             own, made = uses.where(F.col("language") == language), make()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import conditions
 from sextant.operators.intervals import around
+from sextant.resolve import cargo
 
 #: What is decided of the host; everything else is unknown and excludes nothing.
 RUST = {"unix": True, "windows": False, "target_os": {"linux"}, "target_family": {"unix"}, "target_pointer_width": {"64"}, "target_endian": {"little"}}
@@ -15,9 +16,9 @@ C = {"__linux__": "1", "__unix__": "1", "__STDC__": "1", "_WIN32": None, "_WIN64
 PYTHON = {"sys.platform": "linux", "os.name": "posix", "TYPE_CHECKING": False, "sys.version_info": (3, 13, 0)}
 
 
-def value(language: str, condition: str) -> bool | None:
+def value(language: str, condition: str, features: set[str] | None = None) -> bool | None:
     if language == "rust":
-        return conditions.cfg(condition, RUST)
+        return conditions.cfg(condition, RUST if features is None else RUST | {"feature": features})
     if language == "python":
         return conditions.python_if(condition, PYTHON)
     if language == "c":
@@ -26,20 +27,25 @@ def value(language: str, condition: str) -> bool | None:
     return None
 
 
-def dead(branches: DataFrame) -> DataFrame:
-    """Branches (language, path, start, end, condition) that are false on the host; each distinct condition is judged once."""
+def dead(branches: DataFrame, features: dict[str, set[str]] | None = None) -> DataFrame:
+    """Branches (language, path, start, end, condition) that are false on the host; each distinct condition
+    is judged once, and once a package where it asks for features. `features` has those on by package."""
+    on = dict(features or {})
 
     @F.pandas_udf("boolean")
-    def judged(languages: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([value(lang, t) for lang, t in zip(languages, texts, strict=True)], dtype=object)
+    def judged(languages: pd.Series, texts: pd.Series, packages: pd.Series) -> pd.Series:
+        return pd.Series([value(lang, t, on.get(p)) for lang, t, p in zip(languages, texts, packages, strict=True)], dtype=object)
 
-    known = branches.select("language", "condition").where("condition is not null").distinct().withColumn("live", judged("language", "condition"))
-    return branches.join(known.where("live = false"), ["language", "condition"], "left_semi")
+    asks = (F.col("language") == "rust") & F.col("condition").contains("feature")
+    rows = branches.where("condition is not null").withColumn("package", F.when(asks, cargo.package_of("path")).otherwise(""))
+    known = rows.select("language", "condition", "package").distinct().withColumn("live", judged("language", "condition", "package"))
+    return rows.join(known.where("live = false"), ["language", "condition", "package"], "left_semi").drop("package")
 
 
-def live(symbols: DataFrame, branches: DataFrame) -> DataFrame:
-    """`symbols` without those that start in a branch false on the host."""
-    gone = dead(branches).select("path", "start", "end", F.col("ord").alias("b_ord"))
+def live(symbols: DataFrame, branches: DataFrame, features: dict[str, set[str]] | None = None, skipped: list[str] = ()) -> DataFrame:
+    """`symbols` without those that start in a branch false on the host, and those of files `skipped`, which no build reads."""
+    gone = dead(branches, features).select("path", "start", "end", F.col("ord").alias("b_ord"))
     at = symbols.where("kind != 'file'").select("path", F.col("ord").alias("s_ord"), F.col("start").alias("at"))
     inside = around(at, gone, ["path"], "at", "b_ord").select("path", F.col("s_ord").alias("ord")).distinct()
-    return symbols.join(inside, ["path", "ord"], "left_anti")
+    built = symbols.where((F.col("kind") == "file") | ~F.col("path").isin(*skipped)) if skipped else symbols
+    return built.join(inside, ["path", "ord"], "left_anti")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from sextant import schemas
 from sextant.extract import extract
-from sextant.resolve import edges, places
+from sextant.resolve import cargo, edges, live, places
 
 
-def resolved(spark, files: dict[str, tuple[str, str]]) -> set[tuple]:
+def resolved(spark, files: dict[str, tuple[str, str]], crates: dict[str, str] | None = None) -> set[tuple]:
     """(path, line, name, status, rule, target) of each edge of files by path: (language, text)."""
     rows = [{"blob": path, "language": lang, **extract(lang, text.encode())} for path, (lang, text) in files.items()]
     facts = spark.createDataFrame(rows, schemas.EXTRACTED)
@@ -19,7 +19,7 @@ def resolved(spark, files: dict[str, tuple[str, str]]) -> set[tuple]:
         return facts.select("language", F.col("blob").alias("path"), F.explode(name).alias("f")).select("language", "path", *[F.col(f"f.{c}").alias("written" if c == "path" else c) for c in own])
 
     symbols = part("symbols")
-    got = edges.resolved(facts.select(F.col("blob").alias("path"), "language"), symbols, *(part(p) for p in ("calls", "refs", "imports")))
+    got = edges.resolved(facts.select(F.col("blob").alias("path"), "language"), symbols, *(part(p) for p in ("calls", "refs", "imports")), crates=crates)
     led = got.select("path", "line", "name", "status", "rule", F.explode_outer("targets").alias("t")).alias("e").join(symbols.select(F.col("path").alias("s_path"), "ord", "qualified"), (F.col("t.path") == F.col("s_path")) & (F.col("t.ord") == F.col("ord")), "left")
     return {tuple(r) for r in led.select("e.path", "line", "name", "status", "rule", "qualified").collect()}
 
@@ -107,3 +107,37 @@ def test_rust_paths_are_told_from_the_root(spark):
     assert led("store/disk.rs", 7, "make") == ("resolved", "path", "make")
     made = {(path, to_status) for path, line, name, to_status, _, _ in got if name == "make" and line == 5}
     assert made == {("pkg/src/store/mod.rs", "resolved")}
+
+
+MANIFESTS = {
+    "": {"workspace": {"dependencies": {"core": {"path": "core", "features": ["wide"]}}}},
+    "app": {
+        "package": {"name": "my-app"},
+        "features": {"default": ["fast"], "fast": ["dep:extra", "extra?/deep", "core?/seen"], "slow": ["core/odd"], "loud": []},
+        "dependencies": {"core": {"workspace": True}, "extra": {"path": "../extra", "optional": True, "default-features": False}, "away": "1"},
+        "target": {"cfg(windows)": {"dependencies": {"win": {"path": "../win"}}}},
+        "bin": [{"name": "tool", "required-features": ["slow"]}, {"name": "kept", "required-features": ["fast", "away/x"]}],
+    },
+    "core": {"package": {"name": "core"}, "features": {"default": ["base"], "base": [], "wide": [], "odd": [], "seen": []}},
+    "extra": {"package": {"name": "extra"}, "features": {"default": ["no"], "no": [], "deep": ["far"], "far": []}},
+    "win": {"package": {"name": "win"}, "features": {"default": [], "odd": []}},
+}
+
+
+def test_features_that_a_build_turns_on():
+    on = cargo.features(MANIFESTS, live.RUST)
+    assert on == {"app": {"default", "fast"}, "core": {"default", "base", "wide", "seen"}, "extra": {"default", "no", "deep", "far"}, "win": {"default"}}
+    assert cargo.libraries(MANIFESTS)["my_app"] == "app"
+    assert cargo.skipped(MANIFESTS, on, {"app/src/bin/tool.rs", "app/src/bin/kept.rs"}) == ["app/src/bin/tool.rs"]
+
+
+def test_branches_of_features_that_are_off_are_dead(spark):
+    rows = [("rust", "app/src/lib.rs", 1, 2, 0, 'feature = "fast"'), ("rust", "app/src/lib.rs", 3, 4, 1, 'feature = "slow"'), ("rust", "none/a.rs", 5, 6, 0, 'feature = "slow"'), ("rust", "core/src/a.rs", 7, 8, 0, "windows")]
+    branches = spark.createDataFrame(rows, "language string, path string, start int, end int, ord int, condition string")
+    assert sorted(r.start for r in live.dead(branches, {"app": {"fast"}}).collect()) == [3, 7]
+
+
+def test_paths_of_another_library(spark):
+    files = {"app/src/main.rs": "use core_lib::store::put;\nfn main() { put(); core_lib::top(); }\n", "core/src/lib.rs": "pub mod store;\npub fn top() {}\n", "core/src/store.rs": "pub fn put() {}\n", "app/src/store.rs": "pub fn put() {}\npub fn top() {}\n"}
+    got = resolved(spark, {p: ("rust", t) for p, t in files.items()}, {"core_lib": "core"})
+    assert {(line, name, status, rule) for path, line, name, status, rule, _ in got if path == "app/src/main.rs"} == {(1, "put", "resolved", "import"), (2, "put", "resolved", "import"), (2, "top", "resolved", "path")}
