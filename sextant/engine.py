@@ -119,8 +119,9 @@ class Engine:
         manifests = cargo.read(self.root, [r.path for r in self._manifests().select("path").collect()])
         on = cargo.features(manifests, live.RUST)
         roots = {r.path for r in self.files().where("language = 'rust'").select("path").collect()} if any(m.get(k) for m in manifests.values() for k in cargo.ROOTS) else set()
-        symbols = live.live(parts["symbols"], parts["branches"], on, cargo.skipped(manifests, on, roots))
-        return resolve.resolved(self.files(), symbols, *(parts[p] for p in ("calls", "refs", "imports")), crates=cargo.libraries(manifests))
+        # Tiers read these tables many times each, so they are dealt to files once.
+        symbols = settled(live.live(parts["symbols"], parts["branches"], on, cargo.skipped(manifests, on, roots)))
+        return resolve.resolved(self.files(), symbols, *(settled(parts[p]) for p in ("calls", "refs", "imports")), crates=cargo.libraries(manifests))
 
     def _manifests(self) -> DataFrame:
         self.files()
