@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +76,30 @@ def kept_view(spark: SparkSession, root: str, name: str, key: str, make) -> Data
     path = f"{root}/{name}/{key}"
     if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
+        tidied(spark, f"{root}/{name}", key, time.time_ns())
+    marked(spark, f"{path}/_SUCCESS", time.time_ns())
     return spark.read.parquet(path)
 
 
+def marked(spark: SparkSession, path: str, now: int) -> None:
+    """Mark a file as used now, by its time of modification."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(hadoop, now // 1_000_000, -1)
+
+
+def tidied(spark: SparkSession, folder: str, key: str, now: int) -> list[str]:
+    """Remove whole views of other keys that nothing has written or read for a week; their keys, sorted."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system, out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for entry in system.listStatus(hadoop):
+        other = entry.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if other != key and system.exists(done) and system.getFileStatus(done).getModificationTime() < (now - KEPT_NS) // 1_000_000:
+            system.delete(entry.getPath(), True)
+            out.append(other)
+    return sorted(out)
+
+
 def held_by(rows: DataFrame, blob: Column, order: Column) -> DataFrame:
     """One row a blob: its first holder and how many hold it."""
     return rows.groupBy(blob.alias("blob")).agg(F.min(order).alias("first"), F.count("*").alias("holders"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -132,3 +133,15 @@ def test_history(spark):
     assert [r.rev for r in history.touching(commits, touched, changes, wanted).collect()] == ["r0", "r3", "r5"]
     lines = spark.createDataFrame([("r1", "Task", "7, 17"), ("r2", "task", "177"), ("r3", "Other", "17")], "rev string, key string, value string")
     assert [r.rev for r in history.of_task(lines, "TASK", "17").collect()] == ["r1"]
+
+
+def test_views_that_nothing_used_for_a_week_go(spark, tmp_path):
+    make = lambda: spark.range(3)
+    root, now = str(tmp_path), time.time_ns()
+    for key in ("old", "read", "new"):
+        assert store.kept_view(spark, root, "v", key, make).count() == 3
+    for key in ("old", "read", "new"):
+        store.marked(spark, f"{root}/v/{key}/_SUCCESS", now - store.KEPT_NS - 10**9)
+    store.kept_view(spark, root, "v", "read", make)
+    assert store.tidied(spark, f"{root}/v", "new", now) == ["old"]
+    assert sorted(p.name for p in (tmp_path / "v").iterdir()) == ["new", "read"]
