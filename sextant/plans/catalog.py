@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import conditions, text
 from sextant.operators import graph, history, intervals, render, search, store
+from sextant.resolve import places
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,6 +60,20 @@ def module_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", one_of(PYTHON, F.col("p_partkey")).alias("path")).select("p_partkey", "path", text.module_name("path").alias("module"))
 
 
+RUST = ["src/lib.rs", "src/main.rs", "src/a/b.rs", "src/a/mod.rs", "src/bin/tool.rs", "src/bin/big/main.rs", "tests/it.rs", "tests/it/common.rs", "examples/x.rs"]
+CRATES = ["", "", "", "", ":bin/tool", ":bin/big", ":tests/it", ":tests/it", ":examples/x"]
+MODULES = ["", "", "a::b", "a", "", "", "", "common", ""]
+
+
+@query(f"""WITH f AS (SELECT DISTINCT 'k' || p_partkey % 40 AS package, {picked(RUST, "p_partkey")} AS tail, {picked(CRATES, "p_partkey")} AS crate, {picked(MODULES, "p_partkey")} AS module FROM part), l AS (SELECT DISTINCT package AS library FROM f WHERE tail = 'src/lib.rs')
+  SELECT package || '/' || tail AS path, package || CASE WHEN tail = 'src/main.rs' AND library IS NOT NULL THEN ':main' ELSE crate END AS crate, module FROM f LEFT JOIN l ON library = package""")
+def crate_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Crates and modules of Rust files by Cargo's layout."""
+    key = F.col("p_partkey")
+    paths = table(spark, d, "part").select(F.concat(F.lit("k"), (key % 40).cast("string"), F.lit("/"), one_of(RUST, key)).alias("path")).distinct()
+    return places.layout(paths.withColumn("language", F.lit("rust"))).select("path", "crate", "module")
+
+
 NAMES = ["Shop.sell", "pkg::Shop::sell", "a.MyShop.sell", "sell", "Shop.sell#2", "Shop#3.sell", "Shop.sell.x", "config.Shop.sell"]
 
 
