@@ -61,9 +61,16 @@ def rolled_up(touched: DataFrame, key: list[str], place: str) -> DataFrame:
     return placed(sums, [F.desc(F.col("added") + F.col("removed")), "first", *key], "nth")
 
 
-def tasks_of(commits: DataFrame, trailers: DataFrame, tasks: DataFrame, key: str = "task") -> DataFrame:
-    """Tasks (id, commits) that commits name in a trailer and that list the commit by a short id; first commit first."""
+def tasks_of(commits: DataFrame, trailers: DataFrame, tasks: DataFrame, key: str = "task", listed: DataFrame | None = None) -> DataFrame:
+    """Tasks (id, commits) that commits name in a trailer and that list the commit by a short id; first commit first.
+
+    `listed` holds the short ids as rows (id, short) where they are too many for the lists
+    `commits`. A commit's id is cut to each length that short ids have, so the two meet by equality.
+    """
+    if listed is None:
+        listed = tasks.select("id", F.explode("commits").alias("short"))
+    lengths = listed.where("short is not null").select(F.length("short").alias("cut")).distinct()
     named = trailers.where(F.lower("key") == key).select("rev", F.explode(F.split(F.trim("value"), r"[,\s]+")).alias("id"))
-    found = named.join(commits.select("rev", "sha", "place"), "rev").join(tasks, "id")
-    believed = found.where(F.exists("commits", lambda c: F.col("sha").startswith(c)))
-    return believed.groupBy("id").agg(F.min("place").alias("first"), F.count_distinct("rev").alias("n")).join(tasks.drop("commits"), "id").orderBy("first")
+    found = named.join(commits.select("rev", "sha", "place"), "rev").join(F.broadcast(lengths), F.col("cut") <= F.length("sha"))
+    believed = found.withColumn("short", F.substring("sha", F.lit(1), F.col("cut"))).join(listed.select("id", "short"), ["id", "short"], "left_semi")
+    return believed.groupBy("id").agg(F.min("place").alias("first"), F.count_distinct("rev").alias("n")).join(tasks.drop("commits"), "id").orderBy("first", "id")

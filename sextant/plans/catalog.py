@@ -237,8 +237,9 @@ def tasks_believed(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("event_id", (F.col("user_id") % 40).alias("task"), F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"))
     named = F.concat(F.lit("t"), F.col("task").cast("string"))
     trailers = events.select(F.col("event_id").alias("rev"), F.lit("Task").alias("key"), F.concat(F.lit("x, "), named).alias("value"))
-    board = events.where("task < 30 and event_id % 3 != 0").groupBy(named.alias("id")).agg(F.collect_list(F.substring("sha", 1, 12)).alias("commits"))
-    return history.tasks_of(events.select(F.col("event_id").alias("rev"), "sha", F.col("event_id").alias("place")), trailers, board).select("id", "first", "n")
+    listed = events.where("task < 30 and event_id % 3 != 0").select(named.alias("id"), F.substring("sha", 1, 12).alias("short"))
+    board, commits = listed.select("id").distinct(), events.select(F.col("event_id").alias("rev"), "sha", F.col("event_id").alias("place"))
+    return history.tasks_of(commits, trailers, board, listed=listed).select("id", "first", "n")
 
 
 @query("""WITH RECURSIVE r AS (SELECT p_partkey AS name, p_partkey AS cur, 0 AS k FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT name, cur // 2, k + 1 FROM r WHERE cur % 2 = 0 AND k < 8)

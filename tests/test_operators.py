@@ -135,6 +135,24 @@ def test_history(spark):
     assert [r.rev for r in history.of_task(lines, "TASK", "17").collect()] == ["r1"]
 
 
+def test_tasks_meet_commits_by_short_ids_of_any_length(spark):
+    shas = {k: f"{k % 3:x}{k:039x}" for k in range(12)}
+    commits = spark.createDataFrame([(k, sha, 20 - k // 2) for k, sha in shas.items()], "rev int, sha string, place int")
+    lines = [(k, "Task" if k % 4 else "TASK", f" a, t{k % 3}\tb ") for k in shas] + [(1, "Other", "z")]
+    board = {"a": [shas[1][:1], shas[4], shas[4][:7], None, shas[5] + "0"], "b": [""], "t2": [shas[2][:40], "2"], "t1": [shas[2]], "z": [""], "none": []}
+    tasks = spark.createDataFrame([(k, v, k.upper()) for k, v in board.items()], "id string, commits array<string>, title string")
+    want = {}
+    for rev, key, value in lines:
+        for id in value.replace(",", " ").split():
+            if key.lower() == "task" and any(c is not None and shas[rev].startswith(c) for c in board.get(id, [])):
+                want.setdefault(id, set()).add(rev)
+    rows = sorted((min(20 - k // 2 for k in revs), id, len(revs), id.upper()) for id, revs in want.items())
+    trailers = spark.createDataFrame(lines, "rev int, key string, value string")
+    got = history.tasks_of(commits, trailers, tasks)
+    assert [(r["first"], r.id, r.n, r.title) for r in got.collect()] == rows and len({r[0] for r in rows}) < len(rows) == 3
+    assert "exists(" not in got._jdf.queryExecution().optimizedPlan().toString(), "a commit meets its short ids by equality, not a task's whole list"
+
+
 def test_views_that_nothing_used_for_a_week_go(spark, tmp_path):
     make = lambda: spark.range(3)
     root, now = str(tmp_path), time.time_ns()
