@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.operators.intervals import overlapping
@@ -25,18 +25,24 @@ def followed(changes: DataFrame, paths: DataFrame, most: int = 10_000) -> DataFr
     `changes` holds (place, path, renamed): place grows with age, and a rename tells the older
     path. Each round follows one more rename of every path that has one.
     """
-    renames = settled(changes.where("renamed is not null").select("place", F.col("path").alias("p"), "renamed"))
-    now = settled(paths.select(F.col("path").alias("start"), "path", F.lit(-1).cast("long").alias("from")))
+    renames = changes.where("path is not null and place is not null and renamed is not null").groupBy("path", "place").agg(F.min("renamed").alias("renamed"))
+    now = paths.select(F.col("path").alias("start"), "path", F.lit(-1).cast("long").alias("from")).distinct()
+    # Many starts come to one path at one place: what follows there is looked up once.
+    ends = now.select("path", "from").union(renames.select("renamed", "place")).distinct().select("path", F.col("from").alias("at"), F.lit(False).alias("rename"), F.lit(None).cast("string").alias("renamed"))
+    marks = ends.unionByName(renames.select("path", F.col("place").alias("at"), F.lit(True).alias("rename"), "renamed")).withColumn("r", F.when(F.col("rename"), F.struct("at", "renamed")))
+    after = Window.partitionBy("path").orderBy(F.desc("at"), "rename").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = marks.withColumn("r", F.last("r", ignorenulls=True).over(after)).where("not rename and r is not null")
+    steps = settled(steps.select("path", F.col("at").alias("from"), F.col("r.at").alias("until"), F.col("r.renamed").alias("renamed")))
     done = None
     for _ in range(most):
-        next_ = now.join(renames, (F.col("path") == F.col("p")) & (F.col("place") > F.col("from")), "left").groupBy("start", "path", "from").agg(F.min(F.struct("place", "renamed")).alias("r"))
-        next_ = settled(next_.select("start", "path", "from", F.col("r.place").alias("until"), F.col("r.renamed").alias("renamed")))
+        # Merged, not broadcast: steps are as many as renames, and a broadcast would send them to the driver in each round.
+        next_ = settled(now.join(steps.hint("merge"), ["path", "from"], "left").select("start", "path", "from", "until", "renamed"))
         part = next_.select("start", "path", "from", "until")
         done = part if done is None else done.unionByName(part)
         now = next_.where("until is not null").select("start", F.col("renamed").alias("path"), F.col("until").alias("from"))
         if not now.take(1):
             break
-    return settled(done)
+    return done
 
 
 def touching(commits: DataFrame, touched: DataFrame, changes: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -153,6 +153,31 @@ def test_tasks_meet_commits_by_short_ids_of_any_length(spark):
     assert "exists(" not in got._jdf.queryExecution().optimizedPlan().toString(), "a commit meets its short ids by equality, not a task's whole list"
 
 
+def test_renames_are_followed_without_broadcasts(spark, monkeypatch):
+    rng, plans = random.Random(3), []
+
+    def settled(df, of=history.settled):
+        out = of(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(history, "settled", settled)
+    changes = [(place, f"p{rng.randrange(7)}", rng.choice([None, f"p{rng.randrange(7)}"])) for place in rng.choices(range(40), k=50)] + [(3, None, "p1"), (3, "p1", "p2"), (3, "p1", "p4")]
+    starts = [f"p{k}" for k in range(9)] + ["p1", None]
+    want = []
+    for start in set(starts):
+        path, at = start, -1
+        while True:
+            after = min(((place, to) for place, p, to in changes if p == path and to is not None and place > at and path is not None), default=(None, None))
+            want.append((start, path, at, after[0]))
+            if after[0] is None:
+                break
+            at, path = after
+    got = history.followed(spark.createDataFrame(changes, "place long, path string, renamed string"), spark.createDataFrame([(s,) for s in starts], "path string"))
+    assert sorted(map(str, ((r.start, r.path, r["from"], r.until) for r in got.collect()))) == sorted(map(str, want))
+    assert len(want) > 25 and plans and not any("Broadcast" in p for p in plans)
+
+
 def test_views_that_nothing_used_for_a_week_go(spark, tmp_path):
     make = lambda: spark.range(3)
     root, now = str(tmp_path), time.time_ns()
