@@ -116,9 +116,11 @@ def resolve_tiers(spark: SparkSession, d: str) -> DataFrame:
     scopes = customers.select("c_nationkey", "n_regionkey").distinct()
     by_nation = scopes.join(suppliers.drop("n_regionkey"), F.col("c_nationkey") == F.col("s_nationkey")).select("c_nationkey", "s_suppkey")
     by_region = scopes.join(suppliers, "n_regionkey").select("c_nationkey", "s_suppkey")
-    settled = tiers.first_tier(scopes, [("module", by_nation), ("unique", by_region)], ["c_nationkey"], "s_suppkey")
-    out = customers.select("c_custkey", "c_nationkey").join(settled.select("c_nationkey", "status", "rule", "targets"), "c_nationkey")
-    return out.select("c_custkey", "status", F.coalesce("rule", F.lit("")).alias("rule"), F.size("targets").cast("long").alias("n"), F.array_join(F.transform("targets", lambda t: t.cast("string")), ",").alias("targets"))
+    found = tiers.first_tier(scopes, [("module", by_nation), ("unique", by_region)], ["c_nationkey"], "s_suppkey")
+    targets = F.array_join(F.transform("targets", lambda t: t.cast("string")), ",")
+    # Lists are written out once a scope, not once a site.
+    told = settled(found.select("c_nationkey", "status", F.coalesce("rule", F.lit("")).alias("rule"), F.size("targets").cast("long").alias("n"), targets.alias("targets")))
+    return tiers.dealt(customers.select("c_custkey", "c_nationkey"), told, ["c_nationkey"], F.octet_length("targets")).drop("c_nationkey")
 
 
 def nearest_scope(spark: SparkSession, d: str) -> DataFrame:

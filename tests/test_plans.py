@@ -7,7 +7,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from sextant.operators import tiers
 from sextant.plans import queries
 
 
@@ -57,3 +59,26 @@ def test_impact_follows_all_lines_of_an_order(spark, tables):
         level |= dict.fromkeys(front, k)
     assert level.keys() >= {1, 52, 53, 54}
     assert {r.id: r.level for r in queries.impact_levels(spark, at).collect()} == level
+
+
+def test_lists_of_targets_are_written_once_a_scope_and_dealt_evenly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tiers, "TASK_BYTES", 20_000, raising=False)
+    nation_of = {c: 0 if c % 5 else 1 + c % 3 for c in range(400)}
+    nation_of_supplier = {s: 0 if s % 3 else 2 for s in range(90)} | {90: 3}
+    for name, rows, schema in (
+        ("nation", [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)], "n_nationkey int, n_regionkey int"),
+        ("customer", [*nation_of.items(), (400, 4), (401, 9)], "c_custkey long, c_nationkey int"),
+        ("supplier", list(nation_of_supplier.items()), "s_suppkey long, s_nationkey int"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    by_nation = {k: [s for s, n in nation_of_supplier.items() if n == k] for k in (0, 2, 3)} | {1: [s for s, n in nation_of_supplier.items() if n == 0]}
+    rule = {0: "", 1: "", 2: "", 3: "module"}
+    want = {c: ("resolved" if len(by_nation[k]) == 1 else "ambiguous", rule[k], len(by_nation[k]), ",".join(map(str, by_nation[k]))) for c, k in nation_of.items()} | {400: ("external", "", 0, "")}
+    found = queries.resolve_tiers(spark, str(tmp_path))
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.c_custkey: (r.status, r.rule, r.n, r.targets) for r in rows} == want and len(rows) == len(want)
+    made = Counter()
+    for r in rows:
+        made[r.task] += len(r.targets)
+    assert max(made.values()) < 22_000 < sum(made.values())
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
